@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -24,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def fs_uri(path: str) -> str:
+    """A path of the shared folder as a URI that pyarrow's file systems take."""
+    if "://" in path:
+        return path
+    return "file://" + os.path.abspath(path.removeprefix("file:"))
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage in a way that outlives any executor."""
     spark = df.sparkSession
