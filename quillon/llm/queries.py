@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bm25_wand, fingerprints, token_store, warc
+from quillon.llm import bm25_wand, cube_mix, fingerprints, license_scan, packing, token_store, warc
 from quillon.session import ship
 
 
@@ -16,6 +16,10 @@ def op2_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_wand.bm25_topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube_mix.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -24,9 +28,17 @@ def op7_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_normalise_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bm25_topk": op2_bm25_topk, "op6_fingerprints": op6_fingerprints, "op7_warc_normalise": op7_warc_normalise, "op9_token_store": op9_token_store}
-ORACLE_SQL = {"op2_bm25_topk": bm25_wand.SQL}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {k: f for k, f in sorted(globals().items()) if k.startswith("op")}
+ORACLE_SQL = {"op2_bm25_topk": bm25_wand.SQL, "op10_license_scan": license_scan.SQL}
