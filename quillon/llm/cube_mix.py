@@ -58,11 +58,11 @@ def flight(ids: list, size: list, x: list, seed: int, land: bool) -> list[float]
 
 
 def _flier(seed: int, turn: int, land: bool):
-    """applyInArrow function: one block's flight. The largest units fly first, so that those left undecided are small; a hash parts equal ones, so that the table's order doesn't matter."""
+    """applyInArrow function: one block's flight, its units in the order of a hash, so that the table's order doesn't matter."""
 
     def fly(table):
         key = [draw(i, -1, seed) for i in table["doc_id"].to_pylist()]
-        table = table.append_column("key", pa.array(key, pa.float64())).sort_by([("n_tokens", "descending"), ("key", "ascending"), ("doc_id", "ascending")])
+        table = table.append_column("key", pa.array(key, pa.float64())).sort_by([("key", "ascending"), ("doc_id", "ascending")])
         x = flight(table["doc_id"].to_pylist(), table["n_tokens"].to_pylist(), table["x"].to_pylist(), seed + turn, land)
         return pa.Table.from_arrays([*(table[c].combine_chunks() for c in ("doc_id", "source", "n_tokens", "pi")), pa.array(x, pa.float64())], schema=_OUT)
 
@@ -95,8 +95,8 @@ def rates(totals: DataFrame, share: float, alpha: float, weights: dict[str, floa
 def mix(docs: DataFrame, share: float = 0.5, alpha: float = 0.5, weights: dict[str, float] | None = None, seed: int = 42, block: int = BLOCK) -> DataFrame:
     """The sampled documents: (doc_id, source, n_tokens, pi), pi being the inclusion probability.
 
-    In every source the number of documents is sum(pi) to within one, and the number of tokens its target to within the
-    few documents that the landing decides; what the sample holds of each source therefore follows the target weights
+    In every source the number of documents is sum(pi) to within one, and the number of tokens its target to within
+    what the two documents hold that the landing decides; what the sample holds of each source therefore follows the target weights
     (see rates) and not chance. Sources fly by themselves, large ones in blocks of about `block` documents by hash; the
     rounds end when every source is down to one block, which the landing finishes. Only (id, source, tokens) rows move.
 

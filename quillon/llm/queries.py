@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bm25_wand, cube_mix, fingerprints, license_scan, packing, token_store, warc
+from quillon.llm import bm25_wand, cube_mix, fingerprints, lang_id, license_scan, packing, quality, token_store, warc
 from quillon.session import ship
 
 
@@ -12,10 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op2_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_wand.bm25_topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mix.mix(table(spark, sf_dir, "documents"))
 
@@ -41,4 +49,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {k: f for k, f in sorted(globals().items()) if k.startswith("op")}
-ORACLE_SQL = {"op2_bm25_topk": bm25_wand.SQL, "op10_license_scan": license_scan.SQL}
+ORACLE_SQL = {"op2_bm25_topk": bm25_wand.SQL, "op4_quality": quality.SQL, "op10_license_scan": license_scan.SQL}
