@@ -1,15 +1,52 @@
-"""The corpus pipeline: STAGES in order, each over all that its predecessor kept."""
+"""The corpus pipeline: language, quality, near duplicates, mixing, packing. Each stage works on all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quillon.llm import cube_mix, jaccard_join, lang_id, packing, quality
+from quillon.llm.common import write_table
+from quillon.session import ship
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go."""
+    ship(spark)
+    return lang_id.keep(docs)
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are more likely bad than good, by their text, path and host, go."""
+    ship(spark)
+    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of copies and near copies the document with the least id stays."""
+    ship(spark)
+    return jaccard_join.keep(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Half of all tokens, sources in proportion to the square root of theirs."""
+    ship(spark)
+    return cube_mix.keep(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of 2,048 tokens: one row a piece of a document."""
+    ship(spark)
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", language), ("quality", quality_filter), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing_stage)]
+
+#: Training, the cube method and the linear program have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = write_table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bm25_wand, cube_mix, fingerprints, lang_id, license_scan, packing, quality, token_store, warc
+from quillon.llm import bm25_wand, cube_mix, fingerprints, jaccard_join, lang_id, license_scan, packing, quality, token_store, warc
 from quillon.session import ship
 
 
@@ -20,6 +20,10 @@ def op2_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_wand.bm25_topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,4 +53,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {k: f for k, f in sorted(globals().items()) if k.startswith("op")}
-ORACLE_SQL = {"op2_bm25_topk": bm25_wand.SQL, "op4_quality": quality.SQL, "op10_license_scan": license_scan.SQL}
+ORACLE_SQL = {"op2_bm25_topk": bm25_wand.SQL, "op3_jaccard_join": jaccard_join.SQL, "op4_quality": quality.SQL, "op10_license_scan": license_scan.SQL}
