@@ -50,8 +50,8 @@ def _weight(table: DataFrame, parent: Column) -> float:
     return MOST_WEIGHT if between <= 0 else min(MOST_WEIGHT, max(LEAST_WEIGHT, r["scale"] / r["n"] / between - 1))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Column, DataFrame]:
-    """The evidence of a text's bins (log likelihood ratio), and the prior of every path: (_path, _prior).
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Column, DataFrame, DataFrame]:
+    """The evidence of a text's bins (log likelihood ratio), the prior of every path (_path, _host, _prior), and each document's bins (_id, _host, _path and others).
 
     All counts cover all documents and all labels. The evidence is naive Bayes over the binned features. Every document
     then counts towards its path and host with its label or, lacking one, its posterior under the corpus' rate; path
@@ -79,16 +79,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Column, DataFrame]:
     hosts = hosts.select("_host", ((F.col("good") + w * rate) / (F.col("n") + w)).alias("_host_rate"))
     paths = paths.join(hosts, "_host")
     w = _weight(paths, F.col("_host_rate"))
-    return evidence, paths.select("_path", "_host", ((F.col("good") + w * F.col("_host_rate")) / (F.col("n") + w)).alias("_prior"))
+    return evidence, paths.select("_path", "_host", ((F.col("good") + w * F.col("_host_rate")) / (F.col("n") + w)).alias("_prior")), table
+
+
+def _posterior(scored: DataFrame, priors: DataFrame) -> DataFrame:
+    scored = scored.join(priors, ["_path", "_host"], "left")
+    return scored.withColumn("_posterior", _sigmoid(F.ln(F.col("_prior") / (1 - F.col("_prior"))) + F.col("_evidence")))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with _host, _path, _evidence, _prior and _posterior besides its own columns (those of these names are replaced)."""
-    evidence, priors = fit(docs, labels)
+    evidence, priors, _ = fit(docs, labels)
     own = ["_host", "_path", "_evidence", "_prior", "_posterior", *(f"_{k}" for k in FEATURES)]
     scored = docs.drop(*own).select("*", *site(), *features()).withColumn("_evidence", evidence).drop(*(f"_{k}" for k in FEATURES))
-    scored = scored.join(priors, ["_path", "_host"], "left")
-    return scored.withColumn("_posterior", _sigmoid(F.ln(F.col("_prior") / (1 - F.col("_prior"))) + F.col("_evidence")))
+    return _posterior(scored, priors)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -99,8 +103,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     tie. Each repeated row is judged and counted. Other columns are ignored. Without any labels the evidence is 0 and
     every prior near one half; an empty table gives no rows.
     """
-    r = score(docs.select("doc_id", "text", "source", "lang"), labels)
-    return r.select("doc_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.round("_evidence", 6).alias("evidence"), F.round("_prior", 6).alias("prior"), F.round("_posterior", 6).alias("posterior"), (F.col("_posterior") >= threshold).alias("accepted"))
+    evidence, priors, table = fit(docs, labels)
+    r = _posterior(table.withColumn("_evidence", evidence), priors)
+    return r.select(F.col("_id").alias("doc_id"), F.col("_host").alias("host"), F.col("_path").alias("path"), F.round("_evidence", 6).alias("evidence"), F.round("_prior", 6).alias("prior"), F.round("_posterior", 6).alias("posterior"), (F.col("_posterior") >= threshold).alias("accepted"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
