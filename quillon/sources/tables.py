@@ -58,7 +58,7 @@ ent0 AS (
   UNION ALL SELECT s_suppkey + 1000000000, s_name, 'Supplier', NULL, (s_suppkey % 10 + 1) / 10.0::DOUBLE FROM supplier
   UNION ALL SELECT c_custkey + 2000000000, c_name, 'Customer', f, (c_custkey % 10 + 1) / 10.0::DOUBLE FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS f FROM orders GROUP BY 1) ON o_custkey = c_custkey
   UNION ALL SELECT p_partkey + 3000000000, p_name, 'Part', NULL, (p_size % 10 + 1) / 10.0::DOUBLE FROM part),
-ent AS (SELECT *, CASE WHEN id % 17 = 3 THEN 'retracted' ELSE 'active' END AS assertion_state FROM ent0)
+ent AS (SELECT *, NULL::TIMESTAMP AS valid_to, CASE WHEN id % 17 = 3 THEN 'retracted' ELSE 'active' END AS assertion_state FROM ent0)
 """
 
 
