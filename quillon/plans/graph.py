@@ -15,7 +15,8 @@ GRAPH = f"{ENTITIES_SQL}, {RELATIONS_SQL}"
 LIVE = "assertion_state = 'active' AND (valid_from IS NULL OR {t} >= valid_from) AND (valid_to IS NULL OR {t} < valid_to)"
 NOW = LIVE.format(t="now()::TIMESTAMP")
 AT = "TIMESTAMP '1996-06-30 00:00:00'"
-MOMENT = F.lit("1996-06-30 00:00:00").cast("timestamp")
+def moment():
+    return F.lit("1996-06-30 00:00:00").cast("timestamp")
 CAUSAL = "relation_type IN ('" + "','".join(g.CAUSAL_TYPES) + "')"
 
 
@@ -41,17 +42,17 @@ def causal_families(spark, sf_dir):
 
 @query(f"WITH {GRAPH} SELECT id, entity_type FROM ent WHERE {LIVE.format(t=AT)}")
 def entities_as_of(spark, sf_dir):
-    return gs.as_of(entities(spark, sf_dir), MOMENT).select("id", "entity_type")
+    return gs.as_of(entities(spark, sf_dir), moment()).select("id", "entity_type")
 
 
 @query(f"WITH {GRAPH} SELECT id, from_id, to_id FROM rel WHERE {LIVE.format(t=AT)}")
 def relations_as_of(spark, sf_dir):
-    return gs.as_of(relations(spark, sf_dir), MOMENT).select("id", "from_id", "to_id")
+    return gs.as_of(relations(spark, sf_dir), moment()).select("id", "from_id", "to_id")
 
 
 @query(f"WITH {GRAPH} SELECT relation_type, count(*) AS n FROM rel WHERE (valid_from IS NULL OR {AT} >= valid_from) AND (valid_to IS NULL OR {AT} < valid_to) GROUP BY 1")
 def relations_bitemporal(spark, sf_dir):
-    return gs.as_of(relations(spark, sf_dir), MOMENT, "bitemporal").groupBy("relation_type").agg(F.count(F.lit(1)).alias("n"))
+    return gs.as_of(relations(spark, sf_dir), moment(), "bitemporal").groupBy("relation_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate AS f, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS t FROM orders) SELECT event_id, o_orderkey FROM (SELECT event_id, user_id, TIMESTAMP '1996-01-01 00:00:00' + (ts - TIMESTAMP '2024-01-01 00:00:00') AS moment FROM events) e JOIN o ON o_custkey = user_id AND moment >= f AND (t IS NULL OR moment < t)")
@@ -177,7 +178,7 @@ def entity_update(spark, sf_dir):
 @query(f"WITH {GRAPH} SELECT CASE WHEN relation_type = 'LOCATED_IN' THEN 'retracted' ELSE assertion_state END AS assertion_state, CASE WHEN relation_type = 'LOCATED_IN' THEN {AT} ELSE valid_to END IS NULL AS open, count(*) AS n FROM rel GROUP BY 1, 2")
 def retract(spark, sf_dir):
     r = relations(spark, sf_dir)
-    out = gs.retract(r, r.where("relation_type = 'LOCATED_IN'").select("id"), MOMENT)
+    out = gs.retract(r, r.where("relation_type = 'LOCATED_IN'").select("id"), moment())
     return out.groupBy("assertion_state", F.col("valid_to").isNull().alias("open")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -185,7 +186,7 @@ def retract(spark, sf_dir):
 def supersede(spark, sf_dir):
     e = entities(spark, sf_dir).where("entity_type IN ('Nation', 'Region')")
     changes = e.where("entity_type = 'Nation'").select("id", (F.col("id") + 1000).alias("new_id"), F.concat("name", F.lit(" II")).alias("name"))
-    out = gs.supersede(e, changes, MOMENT)
+    out = gs.supersede(e, changes, moment())
     ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
     return out.select("id", "name", "assertion_state", F.coalesce("superseded_by", F.lit(0)).alias("superseded_by"), ntz("valid_from"), ntz("valid_to"))
 

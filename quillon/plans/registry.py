@@ -8,7 +8,7 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 #: Modules that register queries when they are imported.
-MODULES = ("retrieval", "graph")
+MODULES = ("retrieval", "graph", "answers", "schema", "models", "search", "streams")
 
 
 def query(sql: str | None = None, name: str | None = None):
