@@ -16,7 +16,7 @@ SHARD_DOCS, BLOCK_DOCS, PASS_QUERIES = 65_536, 64, 5_000
 
 _INDEX = pa.schema([("n_docs", pa.int64()), ("total_len", pa.int64()), ("terms", pa.binary()), ("df", pa.binary()), ("docs", pa.binary()), ("tfs", pa.binary()), ("ids", pa.binary()), ("lens", pa.binary())])
 _INDEX_SQL = "n_docs long, total_len long, terms binary, df binary, docs binary, tfs binary, ids binary, lens binary"
-_HITS = pa.schema([("q", pa.int32()), ("doc_id", pa.int64()), ("score", pa.float64())])
+_HITS = pa.schema([("q", pa.int32()), ("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
 
 def _tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +67,7 @@ def _expand(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + skip
 
 
-def _searcher(queries: list[np.ndarray], idf: np.ndarray, avgdl: float, k: int, k1: float, b: float):
+def _searcher(names: list[int], queries: list[np.ndarray], idf: np.ndarray, avgdl: float, k: int, k1: float, b: float):
     """mapInArrow function over shards: each query's k best documents of the shard, with exact global scores."""
 
     def search(row: dict) -> pa.RecordBatch:
@@ -111,7 +111,7 @@ def _searcher(queries: list[np.ndarray], idf: np.ndarray, avgdl: float, k: int,
                 best, best_ids = best[keep], best_ids[keep]
             out.append((np.full(len(best), q, np.int32), best_ids, best))
         cols = [np.concatenate(x) for x in zip(*out)] if out else [[], [], []]
-        return to_batch(_HITS, q=cols[0], doc_id=cols[1], score=cols[2])
+        return to_batch(_HITS, q=cols[0], query_id=[names[i] for i in cols[0]], doc_id=cols[1], score=cols[2])
 
     def run(batches):
         for batch in batches:
@@ -160,11 +160,10 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2,
         if not n or not total:
             continue
         idf = np.maximum(0, np.log((n - df + 0.5) / (df + 0.5) + 1))
-        hits = index.mapInArrow(_searcher(own, idf, total / n, k, k1, b), "q int, doc_id long, score double")
+        hits = index.mapInArrow(_searcher([i for i, _ in now], own, idf, total / n, k, k1, b), "q int, query_id long, doc_id long, score double")
         w = Window.partitionBy("q").orderBy(F.desc("score"), "doc_id")
         hits = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        names = F.array(*[F.lit(i).cast("long") for i, _ in now])
-        hits = hits.select(names[F.col("q")].alias("query_id"), "doc_id", F.round("score", 6).alias("score"), "rank")
+        hits = hits.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
         results = hits if results is None else results.unionByName(hits)
     return results if results is not None else spark.createDataFrame([], schema)
 

@@ -132,4 +132,4 @@ def mix(docs: DataFrame, share: float = 0.5, alpha: float = 0.5, weights: dict[s
 def keep(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns as they were, that mix() samples; rows of one doc_id and source go together."""
     chosen = write_table(mix(docs, **options).select(F.col("doc_id").alias("_chosen"), F.col("source").alias("_chosen_source")), "chosen")
-    return docs.join(chosen, (F.col("doc_id") == F.col("_chosen")) & F.col("source").cast("string").eqNullSafe(F.col("_chosen_source")), "left_semi")
+    return docs.join(chosen, (docs["doc_id"] == chosen["_chosen"]) & docs["source"].cast("string").eqNullSafe(chosen["_chosen_source"]), "left_semi")

@@ -88,10 +88,10 @@ def _posterior(scored: DataFrame, priors: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with _host, _path, _evidence, _prior and _posterior besides its own columns (those of these names are replaced)."""
+    """(_row, _host, _path, _evidence, _prior, _posterior): each row of docs whole, with what is known of it."""
     evidence, priors, _ = fit(docs, labels)
-    own = ["_host", "_path", "_evidence", "_prior", "_posterior", *(f"_{k}" for k in FEATURES)]
-    scored = docs.drop(*own).select("*", *site(), *features()).withColumn("_evidence", evidence).drop(*(f"_{k}" for k in FEATURES))
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row")
+    scored = docs.select(row, *site(), *features()).select("_row", "_host", "_path", evidence.alias("_evidence"))
     return _posterior(scored, priors)
 
 
@@ -110,7 +110,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns as they were, that quality() accepts. Row by row: ids play no part in it."""
-    return score(docs, labels).where(F.col("_posterior") >= threshold).select(*docs.columns)
+    return score(docs, labels).where(F.col("_posterior") >= threshold).select("_row.*")
 
 
 def _sql() -> str:
