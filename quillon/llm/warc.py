@@ -81,13 +81,16 @@ def normalise(raw, out, level: int = 6):
     while (at := stream.find(b"WARC/")) >= 0:
         stream.take(at)
         end = stream.find(b"\r\n\r\n")
-        head = stream.take(end + 4) if end >= 0 else b""
+        head = stream.take(end + 4 if end >= 0 else len(stream.buf))
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
         text = lambda k: v.decode("utf-8", "replace") if (v := fields.get(k)) is not None else None  # noqa: B023, E731
         size = int(v) if (v := fields.get(b"content-length", b"")).isdigit() else None
         row = {"record_no": n, "offset": offset, "length": 0, "warc_type": text(b"warc-type"), "target_uri": text(b"warc-target-uri"), "page_id": int(v) if (v := fields.get(b"x-page-id", b"")).lstrip(b"-").isdigit() else None, "content_length": size, "status": "truncated"}
+        if end < 0:  # the stream ends inside a header
+            yield row
+            return
         if size is None:
-            yield row | {"status": "truncated" if end < 0 else "no length"}
+            yield row | {"status": "no length"}
             n += 1
             continue
         z, parts, left = zlib.compressobj(level, zlib.DEFLATED, 31), [], size + 4

@@ -54,7 +54,7 @@ def test_fingerprints_hard_rows(spark):
         assert (by[1].n_chars, by[1].n_levels, by[1].root, by[1].signatures) == (None, 0, None, [])
         assert (by[2].n_chars, by[2].n_levels, by[2].root, by[2].signatures) == (0, 0, None, [])
         assert by[40].n_levels == 1
-        small = {r[0]: r[1] for r in rows if r[1] and len(r[1]) < 1000}
+        small = {r[0]: r[1] for r in rows if r[0] is not None and r[1] and len(r[1]) < 1000}
         for i, t in small.items():
             assert (by[i].n_levels, by[i].root, by[i].signatures) == fingerprints.brute_force(t, 4)
     assert fingerprints.fingerprints(docs(spark, [])).collect() == []
