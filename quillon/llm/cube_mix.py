@@ -33,9 +33,9 @@ def flight(ids: list, size: list, x: list, seed: int, land: bool) -> list[float]
     and takes the next. Two units at most stay fractional; landing then drops the size constraint (their sum stays),
     then the last unit is drawn by its probability.
     """
-    x = list(x)
+    x = [0.0 if p < _TINY else 1.0 if p > 1 - _TINY else p for p in x]
     open_, turn = [], 0
-    todo = iter(i for i, p in enumerate(x) if _TINY < p < 1 - _TINY)
+    todo = iter(i for i, p in enumerate(x) if 0 < p < 1)
     while True:
         while len(open_) < 3 and (i := next(todo, None)) is not None:
             open_.append(i)
