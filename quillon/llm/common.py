@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that one NumPy pass handles at once; bounds a Python worker's memory, never what is processed.
@@ -53,5 +54,18 @@ def chunks(texts: list, limit: int = CHUNK_CHARS, most: int = 60_000):
         yield begin, len(texts)
 
 
+def text_chunks(column: pa.Array, limit: int = CHUNK_CHARS, most: int = 60_000):
+    """chunks() of an Arrow column as (begin, end, texts), by bytes; only one chunk's texts are Python strings at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    begin = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > begin and (size + n > limit or i - begin >= most):
+            yield begin, i, column.slice(begin, i - begin).to_pylist()
+            begin, size = i, 0
+        size += n
+    if begin < len(sizes):
+        yield begin, len(sizes), column.slice(begin).to_pylist()
+
+
 def to_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
