@@ -83,8 +83,9 @@ class Store:
 
     def scan(self, table: str, ns: str | None = None, every_ns: bool = False) -> DataFrame:
         """Rows of one namespace (the default one, if none is named), or of all."""
+        path = self._path(table)
         try:
-            df = self.spark.read.format(self.config.format).options(**self.config.options).load(self._path(table))
+            df = self.spark.read.format(self.config.format).options(**self.config.options).load(path)
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 raise NotFoundError(table) from None
