@@ -120,7 +120,7 @@ def test_causal_chains(spark):
     assert traverse.causal_descendants(e, r, seeds(spark, 3)).count() == 0
     up = traverse.causal_ancestors(e, r, seeds(spark, 3)).collect()
     assert len(up) == 1 and 3 not in up[0].nodes and len(up[0].nodes) == len(up[0].edges)
-    found = traverse.causal_paths(e, r, spark.createDataFrame([(1, 1, 3)], "query_id long, id long, to_id long")).collect()
+    found = traverse.causal_paths(e, r, spark.createDataFrame([(1, 1, 3)], "query_id long, from_id long, to_id long")).collect()
     assert [x.nodes for x in found] == [[1, 2, 3]] and found[0].is_complete
 
 
