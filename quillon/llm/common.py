@@ -8,9 +8,13 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that one NumPy pass handles at once; bounds a Python worker's memory, never what is processed.
 CHUNK_CHARS = 3_000_000
@@ -41,6 +45,40 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_joined(docs: DataFrame, keys: list[str], join) -> DataFrame:
+    """The rows of docs that `join`, a semi or anti join by the key columns, keeps; all columns as they were.
+
+    If docs is a table of files, its texts aren't shuffled: only (keys, file, row number) are joined, the numbers that
+    stay are written by file, and the tasks that read a file look its numbers up. Of anything else whole rows are joined.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return join(docs)
+    file, row = F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")
+    kept = join(docs.select(*keys, file.alias("_file"), row.alias("_place")))
+    buckets = max(1, min(10_000, len(docs.inputFiles())))
+    path = f"{shared_dir(docs.sparkSession)}/quillon-places-{uuid.uuid4().hex}"
+    kept.select(F.pmod("_file", F.lit(buckets)).alias("_bucket"), "_file", "_place").repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+    n, uri = len(docs.columns), fs_uri(path)
+
+    def run(batches):
+        fs, root = pyarrow.fs.FileSystem.from_uri(uri)
+        held, places = None, None
+        for batch in batches:
+            files, at = batch.column(n).to_numpy(), batch.column(n + 1).to_numpy()
+            ok = np.zeros(len(files), bool)
+            for f in np.unique(files).tolist():
+                if f != held:
+                    folder = f"{root}/_bucket={f % buckets}"
+                    there = fs.get_file_info(folder).type == pyarrow.fs.FileType.Directory
+                    held, places = f, np.sort(pyarrow.parquet.read_table(folder, columns=["_place"], filters=[("_file", "==", f)], filesystem=fs, partitioning=None)["_place"].to_numpy()) if there else np.empty(0, np.int64)
+                own = np.flatnonzero(files == f)
+                if len(places):
+                    ok[own] = places[np.minimum(np.searchsorted(places, at[own]), len(places) - 1)] == at[own]
+            yield batch.select(list(range(n))).filter(pa.array(ok))
+
+    return docs.select("*", file.alias("_file_of_row"), row.alias("_place_of_row")).mapInArrow(run, docs.schema)
+
+
 def chunks(texts: list, limit: int = CHUNK_CHARS, most: int = 60_000):
     """Index ranges whose texts together hold about `limit` characters; one text may exceed it alone."""
     begin = size = 0

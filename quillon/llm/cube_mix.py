@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import write_table
+from quillon.llm.common import keep_joined, write_table
 from quillon.llm.tokens import n_tokens
 
 #: Units of one flight: larger sources fly in blocks, whose undecided units (two a block at most) fly again together.
@@ -132,4 +132,4 @@ def mix(docs: DataFrame, share: float = 0.5, alpha: float = 0.5, weights: dict[s
 def keep(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns as they were, that mix() samples; rows of one doc_id and source go together."""
     chosen = write_table(mix(docs, **options).select(F.col("doc_id").alias("_chosen"), F.col("source").alias("_chosen_source")), "chosen")
-    return docs.join(chosen, (docs["doc_id"] == chosen["_chosen"]) & docs["source"].cast("string").eqNullSafe(chosen["_chosen_source"]), "left_semi")
+    return keep_joined(docs, ["doc_id", "source"], lambda d: d.join(chosen, (d["doc_id"] == chosen["_chosen"]) & d["source"].cast("string").eqNullSafe(chosen["_chosen_source"]), "left_semi"))

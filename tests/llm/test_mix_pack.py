@@ -107,6 +107,22 @@ def test_mix_hard_rows(spark):
     assert cube_mix.keep(docs(spark, [])).collect() == []
 
 
+def test_files_and_other_tables_keep_the_same_rows(spark, tmp_path):
+    """Tables of files are filtered by row number, others by a join."""
+    from quillon.llm import jaccard_join
+
+    rng = random.Random(5)
+    rows = source_rows(rng, {"a": 150, None: 30}) + hard_rows(rng)
+    d = docs(spark, rows + rows[:9], clash=True)
+    d.repartition(5).write.parquet(f"{tmp_path}/docs")
+    files = spark.read.parquet(f"{tmp_path}/docs")
+    assert files._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    for keep in (cube_mix.keep, jaccard_join.keep):
+        a, b = keep(files), keep(files.where("true"))
+        assert a.columns == b.columns == d.columns
+        assert taken(a) == taken(b) and taken(a)
+
+
 # --- packing --------------------------------------------------------------------------------------------------------
 
 
