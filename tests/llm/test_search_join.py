@@ -71,6 +71,39 @@ def test_any_boundary_gives_the_same_pairs(spark, monkeypatch, light_to):
     assert got == jaccard_brute(rows, 0.5)
 
 
+def pairs_brute(rows, t: float) -> dict:
+    """Every row with every other."""
+    sets = [(i, s) for i, x in rows if i is not None and x is not None and (s := grams(x))]
+    out: dict = {}
+    for k, (a, s) in enumerate(sets):
+        for b, o in sets[:k]:
+            inter = len(s & o)
+            if a != b and inter and (j := inter / (len(s) + len(o) - inter)) >= t - 1e-12:
+                out[min(a, b), max(a, b)] = max(out.get((min(a, b), max(a, b)), 0), round(j, 6))
+    return out
+
+
+@pytest.mark.parametrize("members", [2, 500])
+def test_all_pairs_spells_copies_out(spark, monkeypatch, members):
+    monkeypatch.setattr(jaccard_join, "MEMBERS", members)
+    rng = random.Random(6)
+    rows = corpus(rng, 80)
+    rows += [(1000 + i, rng.choice(rows[:12])[1]) for i in range(60)]  # groups of copies beside near copies
+    # an id with two texts that are similar, and copies of either; and two that are not
+    rows += [(2000, "a b c d e f"), (2000, "a b c d e g"), (2001, "a b c d e f"), (2002, "a b c d e g"), (3000, "p q r s"), (3000, "t u v w"), (3001, "p q r s"), (3002, "t u v w")]
+    rows += [(r[0], r[1]) for r in hard_rows(random.Random(1))] + [(20, "One!")]
+    got = {(a, b): j for a, b, j in taken(jaccard_join.all_pairs(docs(spark, rows)))}
+    assert got == pairs_brute(rows, 0.5)
+    assert (2001, 2002) in got and (3001, 3002) not in got and (11, 20) in got
+
+
+def test_all_pairs_match_sql(spark):
+    from quillon.llm import queries
+    from tests.oracle import SMALL, assert_same
+
+    assert_same(queries.op3_jaccard_all_pairs(spark, SMALL), queries.ORACLE_SQL["op3_jaccard_all_pairs"])
+
+
 def test_boundary_has_least_cost():
     costs = {0: (1.0, 9.0), 4: (2.0, 9.0), 8: (50.0, 5.0)}
     assert jaccard_join.boundary(costs) == 4
