@@ -232,3 +232,13 @@ def relation_embeddings(spark, sf_dir):
     q = v.join(items, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.lit("default").alias("ns"), "embedding")
     r = gs.relations_by_embedding(rel, q, 10, 0.2)
     return r.select("query_id", "id", F.round("similarity", 5).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings), s AS (SELECT query_id, vec_id AS id, round(greatest(0::DOUBLE, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])), 10) AS similarity FROM q, embeddings v WHERE list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) >= 0.2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) SELECT query_id, id, round(similarity, 5) AS similarity, rank FROM r WHERE rank <= 10")
+def relation_embeddings_all(spark, sf_dir):
+    """relation_embeddings with every vector as a query."""
+    v = load(spark, sf_dir, "embeddings")
+    rel = v.select(F.lit("default").alias("ns"), F.col("vec_id").alias("id"), F.lit("{}").alias("properties"))
+    rel = gs.upsert_relation_embedding(rel, v.select(F.col("vec_id").alias("id"), "embedding"))
+    r = gs.relations_by_embedding(rel, v.select(F.col("vec_id").alias("query_id"), F.lit("default").alias("ns"), "embedding"), 10, 0.2)
+    return r.select("query_id", "id", F.round("similarity", 5).alias("similarity"), F.col("rank").cast("long").alias("rank"))

@@ -31,6 +31,10 @@ near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity
 """
 
 
+#: The same with every vector as a query.
+KNN_ALL_CTE = KNN_CTE.replace(" WHERE q.vec_id IN (SELECT item_id FROM benchmark)", "")
+
+
 def _index(spark, sf_dir):
     return bm25.build_index(tables.text_documents(spark, sf_dir))
 
@@ -140,6 +144,17 @@ def knn(spark, sf_dir):
     return r.select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
+def _all_near(spark, sf_dir) -> DataFrame:
+    v = tables.vectors(spark, sf_dir)
+    return vectors.nearest_neighbors(v, v.select(F.col("id").alias("query_id"), "ns", "embedding"))
+
+
+@query(f"WITH {KNN_ALL_CTE} SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM near WHERE rank <= 20")
+def knn_all(spark, sf_dir):
+    """knn with every vector as a query."""
+    return _all_near(spark, sf_dir).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round({SIM}, 10) AS similarity FROM embeddings q, embeddings v), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 5")
 def knn_batch(spark, sf_dir):
     """Every vector asks."""
@@ -193,6 +208,21 @@ def info_gain(spark, sf_dir):
     return vectors.result_statistics(r).select("query_id", F.round(vec.expected_information_gain("entropy", "n", F.lit(500)), 6).alias("gain"))
 
 
+_STATS_ALL = f"WITH {KNN_ALL_CTE}, s AS (SELECT query_id, similarity AS s FROM near WHERE rank <= 20), t AS (SELECT query_id, s, sum(s) OVER (PARTITION BY query_id) AS t FROM s), h AS (SELECT query_id, count(*) AS n, avg(-ln(greatest(1e-9::DOUBLE, least(1::DOUBLE, s)))) AS m, sum(CASE WHEN t >= 1e-9 AND s > 0 THEN -s / t * ln(s / t) ELSE 0 END) AS h FROM t GROUP BY 1)"
+
+
+@query(f"{_STATS_ALL} SELECT query_id, n, round(m, 6) + 0 AS mean_surprisal, round(h, 6) AS entropy FROM h")
+def result_entropy_all(spark, sf_dir):
+    """result_entropy with every vector as a query."""
+    return vectors.result_statistics(_all_near(spark, sf_dir)).select("query_id", "n", F.round("mean_surprisal", 6).alias("mean_surprisal"), F.round("entropy", 6).alias("entropy"))
+
+
+@query(f"{_STATS_ALL} SELECT query_id, round(greatest(0::DOUBLE, least(1::DOUBLE, h * greatest(0::DOUBLE, least(2::DOUBLE, ln(1 + n) / ln(1 + greatest(500, 1)::DOUBLE))))), 6) AS gain FROM h")
+def info_gain_all(spark, sf_dir):
+    """info_gain with every vector as a query."""
+    return vectors.result_statistics(_all_near(spark, sf_dir)).select("query_id", F.round(vec.expected_information_gain("entropy", "n", F.lit(500)), 6).alias("gain"))
+
+
 _LISTS = f"{BM25_CTE}, {KNN_CTE}, b AS (SELECT query_id, id, score, rank FROM ranked WHERE rank <= 200), v AS (SELECT query_id, id, similarity, rank FROM near WHERE rank <= 200)"
 _RRF = f"{_LISTS}, f AS (SELECT query_id, id, b.score AS bm25, v.similarity AS vector, round(coalesce(0.5::DOUBLE / (60 + b.rank), 0) + coalesce(0.5::DOUBLE / (60 + v.rank), 0), 10) AS hybrid FROM b FULL JOIN v USING (query_id, id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, id) AS rank FROM f), top AS (SELECT * FROM r WHERE rank <= 20)"
 

@@ -16,3 +16,9 @@ def test_query_matches_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_other_queries_give_rows(spark, name):
     assert registry.QUERIES[name](spark, SMALL).count() > 0
+
+
+@pytest.mark.parametrize("name", ["knn_all", "result_entropy_all", "info_gain_all", "relation_embeddings_all"])
+def test_every_vector_asks(spark, name):
+    ids = {r[0] for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id").collect()}
+    assert {r[0] for r in registry.QUERIES[name](spark, SMALL).select("query_id").collect()} == ids
