@@ -11,8 +11,10 @@ from quillon.llm.common import chunks, to_batch
 from quillon.llm.words import mix
 
 _RUN, _PLACE, _LEN = np.uint64(0xD1B54A32D192ED03), np.uint64(0x9E3779B97F4A7C15), np.uint64(0x8CB92BA72F3D8DD7)
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_levels", pa.int32()), ("root", pa.int64()), ("signatures", pa.list_(pa.int64()))])
-SCHEMA = "doc_id long, n_chars long, n_levels int, root long, signatures array<long>"
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_levels", pa.int32()), ("root", pa.int64()), ("signatures", pa.list_(pa.int64())), ("lower", pa.list_(pa.list_(pa.int64())))])
+SCHEMA = "doc_id long, n_chars long, n_levels int, root long, signatures array<long>, lower array<array<long>>"
+#: The lowest level whose names are given; below, a name is a character or about three.
+LOWEST = 2
 
 
 def _toss(label: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -63,17 +65,24 @@ def level_up(sym: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def parse(texts: list[str], level: int) -> tuple[list, list, list]:
     """For each text (none empty): its levels up to a single name, that name, and the distinct names at `level` (or at its top, if that is lower), sorted."""
+    levels, root, names = parse_levels(texts, [level])
+    return levels, root, names[0]
+
+
+def parse_levels(texts: list[str], wanted: list[int]) -> tuple[list, list, list[list]]:
+    """parse() for several levels at once: the names by level, then by text."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     sym = mix(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
     begin, alive = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.arange(len(texts))
-    levels, root, names = [0] * len(texts), [0] * len(texts), [None] * len(texts)
+    levels, root, names = [0] * len(texts), [0] * len(texts), [[None] * len(texts) for _ in wanted]
     depth = 0
     while len(alive):
         size = np.diff(np.append(begin, len(sym)))
         done = size == 1
-        for i in np.flatnonzero(done if depth != level else np.ones(len(alive), bool)):
-            if names[alive[i]] is None:
-                names[alive[i]] = np.unique(sym[begin[i] : begin[i] + size[i]].view(np.int64))
+        for level, found in zip(wanted, names):
+            for i in np.flatnonzero(done if depth != level else np.ones(len(alive), bool)):
+                if found[alive[i]] is None:
+                    found[alive[i]] = np.unique(sym[begin[i] : begin[i] + size[i]].view(np.int64))
         for i in np.flatnonzero(done):
             levels[alive[i]], root[alive[i]] = depth, int(sym[begin[i] : begin[i] + 1].view(np.int64)[0])
         if done.any():
@@ -85,29 +94,43 @@ def parse(texts: list[str], level: int) -> tuple[list, list, list]:
     return levels, root, names
 
 
+_NONE = np.empty(0, np.int64)
+
+
+def _lists(rows: list[list[np.ndarray]]) -> pa.ListArray:
+    """Rows of arrays as a list of lists."""
+    parts = [x for r in rows for x in r]
+    ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(list(map(len, sizes)), dtype=np.int64)]), pa.int32())
+    return pa.ListArray.from_arrays(ends(rows), pa.ListArray.from_arrays(ends(parts), pa.array(np.concatenate([_NONE, *parts]), pa.int64())))
+
+
 def fingerprints(docs: DataFrame, level: int = 4) -> DataFrame:
-    """One row a document: (doc_id, n_chars, n_levels, root, signatures).
+    """One row a document: (doc_id, n_chars, n_levels, root, signatures, lower).
 
     root names the whole text: equal texts, and (but for 64-bit collisions) only those, have equal roots at equal
     n_levels. signatures are the distinct names of its phrases at `level` (about 3 ** level characters each), sorted: a
     passage that two documents share, at whatever offsets, gives both the same names, but for a few phrases at its ends.
+    Of a short passage (about 50 words or less) those few may be all; so lower has the names of the levels from LOWEST to
+    below `level`, a list each, where phrases are shorter: about 9 characters at level 2, 27 at level 3.
 
     Whole texts of any length; one pass without a shuffle, and nothing is held beyond a batch. Null and empty texts
     have n_levels 0, a null root and no signatures; n_chars is null for a null text. Null ids, repeated rows and extra
     columns: every input row gives one row with its doc_id; other columns are ignored. An empty table gives none.
     """
 
+    wanted = [level, *range(LOWEST, level)]
+
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in chunks(texts, 1_500_000):
                 full = [i for i in range(a, b) if texts[i]]
-                levels, root, names = parse([texts[i] for i in full], level) if full else ([], [], [])
+                levels, root, names = parse_levels([texts[i] for i in full], wanted) if full else ([], [], [[] for _ in wanted])
                 at = dict(zip(full, range(len(full))))
                 pick = lambda values, i, other: values[at[i]] if i in at else other  # noqa: B023, E731
-                size = [len(names[at[i]]) if i in at else 0 for i in range(a, b)]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(names) if full else np.empty(0, np.int64), pa.int64()))
-                yield to_batch(_OUT, doc_id=ids[a:b], n_chars=[None if t is None else len(t) for t in texts[a:b]], n_levels=[pick(levels, i, 0) for i in range(a, b)], root=[pick(root, i, None) for i in range(a, b)], signatures=lists)
+                lists = _lists([[names[0][at[i]]] if i in at else [_NONE] for i in range(a, b)]).flatten()
+                lower = _lists([[n[at[i]] for n in names[1:]] if i in at else [_NONE] * (len(wanted) - 1) for i in range(a, b)])
+                yield to_batch(_OUT, doc_id=ids[a:b], n_chars=[None if t is None else len(t) for t in texts[a:b]], n_levels=[pick(levels, i, 0) for i in range(a, b)], root=[pick(root, i, None) for i in range(a, b)], signatures=lists, lower=lower)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 

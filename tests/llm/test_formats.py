@@ -36,6 +36,25 @@ def test_shared_passages_share_signatures(spark):
     assert len(own & other) <= 0.02 * len(own)
 
 
+def test_short_passages_share_names_of_lower_levels(spark):
+    """Passages of 15 to 60 words between different texts: where level 4 has no common name, a lower one has."""
+    rng = random.Random(3)
+    passages = [words(rng, 15 + i % 46, 5000) for i in range(92)]
+    context = lambda: words(rng, rng.randint(20, 80), 5000)
+    rows = [(i + 1000 * k, f"{context()} {p} {context()}") for i, p in enumerate(passages) for k in (0, 1)]
+    by = {r.doc_id: r for r in fingerprints.fingerprints(docs(spark, rows)).collect()}
+    common = lambda i, names: set(names(by[i])) & set(names(by[i + 1000]))
+    assert not all(common(i, lambda r: r.signatures) for i in range(92))
+    assert all(common(i, lambda r: r.lower[0]) and common(i, lambda r: r.lower[1]) for i in range(92))
+    # and not by chance: texts without a common passage hardly share names of level 3
+    assert sum(bool(set(by[i].lower[1]) & set(by[i + 1001].lower[1])) for i in range(91)) <= 9
+    for i, text in rows[:20]:
+        assert by[i].lower == [fingerprints.brute_force(text, k)[2] for k in (2, 3)]
+    hard = {r.doc_id: r for r in fingerprints.fingerprints(docs(spark, [(1, None), (2, ""), (3, "a")])).collect()}
+    assert hard[1].lower == hard[2].lower == [[], []] and hard[3].lower == [hard[3].signatures] * 2
+    assert all(r.lower == [] for r in fingerprints.fingerprints(docs(spark, rows[:3]), 2).collect())
+
+
 def test_roots_name_texts(spark):
     rng = random.Random(2)
     texts = [words(rng, rng.randint(1, 50)) for _ in range(200)]
