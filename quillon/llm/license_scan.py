@@ -121,6 +121,91 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, license string, dice double")
 
 
+def best_run(gram: np.ndarray, template: np.ndarray, threshold: float) -> float:
+    """The best coefficient of any run of consecutive bigrams with a template's set, 0 if that is below the threshold.
+
+    A best run begins and ends with a bigram of the template, its first one not occurring in it again: others shrink to
+    such runs without loss. It holds at most (2-t)/t |B| distinct bigrams, t/(2-t) |B| of them the template's.
+    """
+    hit = np.isin(gram, template)
+    at = np.flatnonzero(hit)
+    need, most = max(1, int(np.ceil(threshold / (2 - threshold) * len(template) - 1e-9))), int((2 - threshold) / threshold * len(template) + 1e-9)
+    order = np.argsort(gram, kind="stable")
+    same = np.flatnonzero(gram[order][1:] == gram[order][:-1])
+    before, after = np.full(len(gram), -1), np.full(len(gram), len(gram))
+    before[order[same + 1]], after[order[same]] = order[same], order[same + 1]
+    best = 0.0
+    for x in at[: max(0, len(at) - need + 1)].tolist():
+        length, end = 2 * most + 2, int(after[x])
+        while True:
+            new = before[x : min(end, x + length)] < x
+            distinct = np.cumsum(new)
+            if x + length >= end or distinct[-1] > most:
+                break
+            length *= 2
+        common = np.cumsum(new & hit[x : x + len(new)])
+        if common[-1] >= need:
+            best = max(best, float((2 * common / (distinct + len(template))).max()))
+    return best if best >= threshold - 1e-12 else 0.0
+
+
+def license_runs(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (doc_id, license, dice) as of license_scan, but passages are all runs of consecutive words of a text, wherever they begin and end.
+
+    So a notice is found in several paragraphs, across lines, or on a line with other prose; what license_scan finds is
+    found too, with a coefficient as high at least. A text is searched for a template if it holds as many of its bigrams
+    as any match needs; that loses none. Everything else is as in license_scan.
+    """
+    templates = TEMPLATES if templates is None else templates
+    sets = [(name, np.unique(_bigrams(words([text])[0]))) for name, text in templates]
+    sets = [(name, s) for name, s in sets if len(s)]
+    known = np.unique(np.concatenate([s for _, s in sets])) if sets else np.zeros(1, np.uint64)
+    has = np.array([np.isin(known, s) for _, s in sets]).reshape(len(sets), len(known))
+    low = threshold / (2 - threshold)
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in chunks(texts):
+                h, _, off = words(texts[a:b])
+                gram = _bigrams(h)
+                place = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+                at = np.flatnonzero(known[place] == gram)
+                doc = np.searchsorted(off, at, side="right") - 1
+                inside = at + 1 < off[doc + 1]
+                pair = np.unique(doc[inside] * len(known) + place[at[inside]])
+                doc, place = pair // len(known), pair % len(known)
+                found: dict[tuple, float] = {}
+                for k, (name, s) in enumerate(sets):
+                    for i in np.flatnonzero(np.bincount(doc[has[k, place]], minlength=1) >= max(1, np.ceil(low * len(s) - 1e-9))).tolist():
+                        if dice := best_run(gram[off[i] : off[i + 1] - 1], s, threshold):
+                            found[i, name] = max(found.get((i, name), 0), dice)
+                if found:
+                    yield to_batch(_OUT, doc_id=[ids[a + i] for i, _ in found], license=[n for _, n in found], dice=[round(d, 6) for d in found.values()])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, license string, dice double")
+
+
+def brute_force_runs(rows: list[tuple], templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> list[tuple]:
+    """The same with Python sets, every run of words against every template."""
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+    out = []
+    for i, t in rows:
+        w, best = split(t or ""), {}
+        pairs = list(zip(w, w[1:]))
+        for name, text in templates:
+            tw = split(text)
+            b = set(zip(tw, tw[1:]))
+            for x in range(len(pairs)) if b else ():
+                a: set = set()
+                for y in range(x, len(pairs)):
+                    a.add(pairs[y])
+                    if (d := 2 * len(a & b) / (len(a) + len(b))) >= threshold - 1e-12:
+                        best[name] = max(best.get(name, 0), round(d, 6))
+        out += [(i, n, d) for n, d in best.items()]
+    return out
+
+
 def brute_force(rows: list[tuple], templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> list[tuple]:
     """The same with Python sets, every passage against every template."""
 

@@ -52,6 +52,10 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"))
 
 
+def op10_license_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_runs(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 

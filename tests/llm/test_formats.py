@@ -236,3 +236,28 @@ def test_license_hard_rows(spark):
         assert got == sorted([(50, "MIT", 1.0), (50, "MIT", 1.0), (51, "MIT", 1.0), (None, "MIT", 1.0)], key=repr)
     assert taken(license_scan.license_scan(docs(spark, []))) == []
     assert taken(license_scan.license_scan(docs(spark, rows), [])) == []
+
+
+@pytest.mark.parametrize("t", [0.3, 0.8, 1.0])
+def test_license_runs_match_brute_force(spark, t):
+    rng = random.Random(4)
+    templates = [("A", "one two three four"), ("B", "one two"), ("B", "five one two five one"), ("C", "x"), ("D", ""), ("E", "two two two")]
+    rows = [(i, rng.choice([" ", "\n", ". "]).join(rng.choice(["one", "two", "three", "four", "five"]) for _ in range(rng.randint(0, 25)))) for i in range(150)]
+    rows += [(200, "one two " * 40 + "three four"), (201, None), (202, ""), (None, "one two three four"), (203, "one"), (204, "two"), (205, "three four")]
+    got = taken(license_scan.license_runs(docs(spark, rows), templates, t))
+    assert got == sorted(license_scan.brute_force_runs(rows, templates, t), key=repr)
+    assert taken(license_scan.license_runs(docs(spark, []))) == taken(license_scan.license_runs(docs(spark, rows), [])) == []
+
+
+def test_license_runs_find_notices_anywhere(spark):
+    """Every template on a line with prose and in pieces between blank lines, inside a long text; whatever the scan of fixed passages finds is found."""
+    rng = random.Random(5)
+    rows = []
+    for k, (_, text) in enumerate(license_scan.TEMPLATES):
+        rows.append((2 * k, words(rng, 300) + " " + text + " " + words(rng, 300)))
+        rows.append((2 * k + 1, words(rng, 50) + "\n\n" + text.replace(". ", ".\n\n").replace(", ", ",\n") + "\n\n" + words(rng, 50)))
+    rows.append((100, "Some closing remarks of the author about the text above. Licensed under CC BY 4.0."))
+    got = {(i, n): d for i, n, d in taken(license_scan.license_runs(docs(spark, rows)))}
+    assert all(got[2 * k + d, n] == 1.0 for k, (n, _) in enumerate(license_scan.TEMPLATES) for d in (0, 1)) and got[100, "CC-BY-4.0"] == 1.0
+    before = taken(license_scan.license_scan(docs(spark, rows)))
+    assert all(got[i, n] >= d for i, n, d in before) and len(before) < len(got)
