@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,11 +48,11 @@ def subgraph(entities: DataFrame, relations: DataFrame, seeds: DataFrame, depth:
     return ids.join(entities.select("id"), "id", "left_semi"), inside.select("query_id", F.col("rel").alias("id"), "from_id", "to_id")
 
 
-def shortest_paths(entities: DataFrame, relations: DataFrame, pairs: DataFrame, max_levels: int = 64) -> DataFrame:
+def shortest_paths(entities: DataFrame, relations: DataFrame, pairs: DataFrame, max_levels: int | None = None) -> DataFrame:
     """pairs(from_id, to_id) to (from_id, to_id, path): a least-hop directed path over active entities and relations, where there is one.
 
     Of several, the one whose every node has the least parent. From and to alike give a path of one. Searches that
-    start at the same node are one search; they end when nothing new is met.
+    start at the same node are one search; they end when nothing new is met, or after max_levels hops where that is given.
     """
     live = entities.where(g.is_active()).select("id")
     e = _edges(relations, "out").join(live.withColumnRenamed("id", "a"), "a", "left_semi").join(live.withColumnRenamed("id", "b"), "b", "left_semi").distinct()
@@ -58,13 +60,15 @@ def shortest_paths(entities: DataFrame, relations: DataFrame, pairs: DataFrame,
     visited = pairs.select(F.col("from_id").alias("s")).distinct().join(live, F.col("s") == F.col("id"), "left_semi")
     visited = write_table(visited.select("s", F.col("s").alias("node"), F.array("s").alias("path")), "visited")
     frontier = visited
-    for _ in range(max_levels):
+    for level in itertools.count(1) if max_levels is None else range(1, max_levels + 1):
         step = frontier.join(e, F.col("node") == F.col("a")).groupBy("s", F.col("b").alias("node")).agg(F.min(F.struct("node", "path")).alias("best"))
         step = step.join(visited, ["s", "node"], "left_anti").select("s", "node", F.concat("best.path", F.array("node")).alias("path"))
         frontier = write_table(step, "frontier")
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
+        if level % 16 == 0:  # else the plan grows with the depth
+            visited = write_table(visited, "visited")
     return pairs.distinct().join(visited, (F.col("from_id") == F.col("s")) & (F.col("to_id") == F.col("node"))).select("from_id", "to_id", "path")
 
 

@@ -113,6 +113,13 @@ def test_traversal(spark):
     assert (nodes.count(), edges.count()) == (4, 3)
 
 
+def test_shortest_paths_have_no_bound(spark):
+    e, r = graph(spark, [(i, i + 1) for i in range(1, 67)], n=67)
+    pairs = spark.createDataFrame([(1, 67)], "from_id long, to_id long")
+    assert [x.path for x in traverse.shortest_paths(e, r, pairs).collect()] == [list(range(1, 68))]
+    assert traverse.shortest_paths(e, r, pairs, 2).collect() == []
+
+
 def test_causal_chains(spark):
     e, r = graph(spark, [(1, 2), (2, 3), (1, 4)], kinds=["CAUSES", "TRIGGERS", "LIKES"])
     down = traverse.causal_descendants(e, r, seeds(spark, 1)).collect()
