@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import graph as g
 from quillon.sources.errors import ConfigurationError
-from quillon.sources.workspace import write_table
+from quillon.sources.workspace import drop_table, write_table
 
 
 def _edges(relations: DataFrame, direction: str) -> DataFrame:
@@ -163,7 +163,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        e = write_table(small, "components")
+        old, e = e, write_table(small, "components")
+        drop_table(old)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
