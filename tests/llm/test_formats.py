@@ -117,10 +117,82 @@ def test_noise_never_crashes(noise, seed):
 def test_truncated_and_lengthless_records():
     a, b = warc.warc_record(1, "http://a", "aaa"), warc.warc_record(2, "http://b", "b" * 5000)
     rows, data = run(gzip.compress(a + b[:-100]))
-    assert [r["status"] for r in rows] == ["ok", "truncated"] and rows[1]["length"] == 0
-    assert gzip.decompress(data) == a
-    rows, _ = run(gzip.compress(b"WARC/1.0\r\nWARC-Type: warcinfo\r\n\r\n\r\n\r\n" + a))
-    assert [r["status"] for r in rows] == ["no length", "ok"]
+    assert [r["status"] for r in rows] == ["ok", "truncated"] and rows[0]["length"] == rows[1]["offset"]
+    assert gzip.decompress(data[: rows[0]["length"]]) == a and gzip.decompress(data[rows[1]["offset"] :]) == b[:-100]  # what there is of it is kept
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\n\r\nsome: thing\r\n\r\n"
+    rows, data = run(gzip.compress(info + a))
+    assert [r["status"] for r in rows] == ["no length", "ok"] and gzip.decompress(data) == info + a
+    rows, data = run(gzip.compress(a + info))
+    assert [r["status"] for r in rows] == ["ok", "no length"] and gzip.decompress(data) == a + info
+    # a record that nothing closes gets its line ends, one that follows at once is not eaten
+    rows, data = run(gzip.compress(a[:-4] + b))
+    assert [r["status"] for r in rows] == ["ok", "ok"] and gzip.decompress(data) == a + b
+
+
+def brute_records(members: list[bytes]) -> list[bytes]:
+    """The records of members that can be inflated, cut by their lengths."""
+    out = []
+    for m in members:
+        data = gzip.decompress(m)
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            size = int(next(x.split(b":")[1] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length")))
+            out.append(head + b"\r\n\r\n" + rest[: size + 4])
+            data = rest[size + 4 :]
+    return out
+
+
+@pytest.mark.parametrize("garbage", [b"garbage", b"\x1f\x8b\x08 not a header", b"\0" * 600_000, os.urandom(700_000)])
+def test_garbage_between_members_loses_no_record(garbage):
+    rng = random.Random(4)
+    members = [gzip.compress(b"".join(warc.warc_record(10 * k + i, f"http://h/{i}", words(rng, 40)) for i in range(10))) for k in range(3)]
+    rows, data = run(garbage.join(members))
+    ok = [r for r in rows if r["status"] == "ok"]
+    assert [zlib.decompress(data[r["offset"] : r["offset"] + r["length"]], 31) for r in ok] == brute_records(members)
+    assert [r["status"] for r in rows if r["status"] != "ok"] == (["corrupt"] * 2 if garbage.strip(b"\0") else [])
+    assert [r["record_no"] for r in rows] == list(range(len(rows)))
+
+
+def test_a_broken_member_loses_only_what_it_holds_behind_the_break():
+    rng = random.Random(5)
+    members = [gzip.compress(b"".join(warc.warc_record(10 * k + i, f"http://h/{i}", words(rng, 400)) for i in range(10))) for k in range(3)]
+    broken = bytearray(members[1])
+    broken[len(broken) // 2 : len(broken) // 2 + 30] = b"\xff" * 30
+    rows, data = run(members[0] + bytes(broken) + members[2])
+    ok = {r["page_id"] for r in rows if r["status"] == "ok"}
+    assert {*range(10), *range(20, 30)} <= ok and ok & set(range(10, 20))
+    assert "corrupt" in [r["status"] for r in rows]
+    last = [r for r in rows if r["page_id"] is not None and r["page_id"] >= 20]
+    assert [zlib.decompress(data[r["offset"] : r["offset"] + r["length"]], 31) for r in last] == brute_records([members[2]])
+
+
+def test_large_records_and_long_garbage_take_little_memory():
+    import tracemalloc
+
+    big = b"x" * 200_000_000
+    z = zlib.compressobj(1, zlib.DEFLATED, 31)
+    head = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(big)
+    raw = z.compress(b"-" * 100_000_000) + z.compress(head) + z.compress(big) + z.compress(b"\r\n\r\n" + warc.warc_record(7, "u", "h")) + z.flush()
+    del big
+    tracemalloc.start()
+    out = io.BytesIO()
+    rows = list(warc.normalise(io.BytesIO(raw), out))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["status"] for r in rows] == ["ok", "ok"] and rows[1]["page_id"] == 7 and peak < 60_000_000
+    assert zlib.decompress(out.getvalue()[: rows[0]["length"]], 31).count(b"x") == 200_000_000
+    assert [r["status"] for r in run(gzip.compress(b"WARC/1.0\r\n" + b"h" * 3_000_000 + warc.warc_record(8, "u", "h")))[0]] == ["bad header", "ok"]
+
+
+def test_files_of_one_name_keep_apart(spark, tmp_path):
+    for k in "ab":
+        (tmp_path / k).mkdir()
+        (tmp_path / k / "x.warc.gz").write_bytes(gzip.compress(b"".join(warc.warc_record(i, f"http://{k}/{i}", k * i) for i in range(5))))
+    files = spark.createDataFrame([(f"file://{tmp_path}/{k}/x.warc.gz",) for k in "ab"], "file string")
+    index = warc.normalise_files(files, f"file://{tmp_path}/out").collect()
+    assert len({r.file for r in index}) == 2
+    got = sorted(warc.read_record(r.file, r.offset, r.length) for r in index)
+    assert got == sorted(warc.warc_record(i, f"http://{k}/{i}", k * i) for i in range(5) for k in "ab")
 
 
 def pages(spark, rows):
