@@ -1,62 +1,76 @@
-"""Shared pieces: the workspace for written tables, batching of texts, and a pass over an Arrow stream."""
+"""Shared pieces: rows of files kept by row number, batching of texts, memory of Python workers."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
+import ctypes
+import functools
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.parquet
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.sources.workspace import fs_uri, table_path, write_table
+
 #: Characters that one NumPy pass handles at once; bounds a Python worker's memory, never what is processed.
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_000_000
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system; else an idle Python worker keeps its largest task's until it ends."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one is set only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.sparkContext.setCheckpointDir(base)
-        atexit.register(shutil.rmtree, base[7:], True)
-    return base.rstrip("/")
+def lean(run):
+    """A mapInArrow function that hands its memory back when its task ends."""
 
+    def freed(batches):
+        for out in run(batches):
+            yield out
+        give_back()
 
-def fs_uri(path: str) -> str:
-    """A path of the shared folder as a URI that pyarrow's file systems take."""
-    if "://" in path:
-        return path
-    return "file://" + os.path.abspath(path.removeprefix("file:"))
+    return freed
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage in a way that outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _places(docs: DataFrame) -> list | None:
+    """Each row's file and place in it, where docs is read from files (through selections and filters too); None where it isn't."""
+    try:
+        meta = docs.metadataColumn("_metadata")
+        columns = [F.xxhash64(meta["file_path"]).alias("_file"), meta["row_index"].alias("_place")]
+        docs.select(*columns).schema
+        return columns
+    except AnalysisException:
+        return None
 
 
 def keep_joined(docs: DataFrame, keys: list[str], join) -> DataFrame:
     """The rows of docs that `join`, a semi or anti join by the key columns, keeps; all columns as they were.
 
-    If docs is a table of files, its texts aren't shuffled: only (keys, file, row number) are joined, the numbers that
-    stay are written by file, and the tasks that read a file look its numbers up. Of anything else whole rows are joined.
+    Texts aren't shuffled: only (keys, file, row number) are joined, the numbers that stay are written by file, and the
+    tasks that read a file look its numbers up. What doesn't come from files is written to the shared folder first.
     """
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        return join(docs)
-    file, row = F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")
-    kept = join(docs.select(*keys, file.alias("_file"), row.alias("_place")))
+    columns = _places(docs)
+    if columns is None:
+        docs = write_table(docs, "docs")
+        columns = _places(docs)
+    file, row = columns
+    kept = join(docs.select(*keys, file, row))
     buckets = max(1, min(10_000, len(docs.inputFiles())))
-    path = f"{shared_dir(docs.sparkSession)}/quillon-places-{uuid.uuid4().hex}"
+    path = table_path(docs.sparkSession, "places")
     kept.select(F.pmod("_file", F.lit(buckets)).alias("_bucket"), "_file", "_place").repartition("_bucket").write.partitionBy("_bucket").parquet(path)
     n, uri = len(docs.columns), fs_uri(path)
 
@@ -76,7 +90,8 @@ def keep_joined(docs: DataFrame, keys: list[str], join) -> DataFrame:
                     ok[own] = places[np.minimum(np.searchsorted(places, at[own]), len(places) - 1)] == at[own]
             yield batch.select(list(range(n))).filter(pa.array(ok))
 
-    return docs.select("*", file.alias("_file_of_row"), row.alias("_place_of_row")).mapInArrow(run, docs.schema)
+    own = [docs[f"`{c}`"] for c in docs.columns]
+    return docs.select(*own, file.alias("_file_of_row"), row.alias("_place_of_row")).mapInArrow(lean(run), docs.schema)
 
 
 def chunks(texts: list, limit: int = CHUNK_CHARS, most: int = 60_000):

@@ -6,7 +6,7 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside; as extra columns of a table they must neither break nor change anything.
-CLASH = ["_id", "_gone", "_chosen", "_chosen_source", "_host", "_path", "_prior", "_posterior", "_evidence", "_symbols", "_label", "_row", "n_tokens", "uid", "n", "q", "key", "slice", "batch", "block", "part", "class", "root", "source_", "pi", "x", "size", "title", "score", "rank", "level", "at", "b"]
+CLASH = ["_metadata", "_file", "_place", "class_id", "links", "rep", "lead", "_id", "_gone", "_chosen", "_chosen_source", "_host", "_path", "_prior", "_posterior", "_evidence", "_symbols", "_label", "_row", "n_tokens", "uid", "n", "q", "key", "slice", "batch", "block", "part", "class", "root", "source_", "pi", "x", "size", "title", "score", "rank", "level", "at", "b"]
 
 
 def docs(spark, rows, clash: bool = False):

@@ -57,7 +57,7 @@ def corpus(rng, n: int = 250) -> list[tuple]:
 @pytest.mark.parametrize("t", [0.3, 0.5, 0.8, 1.0])
 def test_jaccard_is_exact(spark, t):
     rows = corpus(random.Random(int(t * 10)))
-    got = {(a, b): j for a, b, j in taken(jaccard_join.ngram_jaccard_join(docs(spark, rows).repartition(3, "doc_id"), t))}
+    got = {(a, b): j for a, b, j in taken(jaccard_join.similar_pairs(docs(spark, rows).repartition(3, "doc_id"), t))}
     assert got == jaccard_brute(rows, t)
     assert t == 1.0 or len(got) > 100
 
@@ -67,7 +67,7 @@ def test_any_boundary_gives_the_same_pairs(spark, monkeypatch, light_to):
     """Only subsets, only lists, or both: the boundary moves costs, not results."""
     rows = corpus(random.Random(5), 120)
     monkeypatch.setattr(jaccard_join, "boundary", lambda costs: light_to)
-    got = {(a, b): j for a, b, j in taken(jaccard_join.ngram_jaccard_join(docs(spark, rows)))}
+    got = {(a, b): j for a, b, j in taken(jaccard_join.similar_pairs(docs(spark, rows)))}
     assert got == jaccard_brute(rows, 0.5)
 
 
@@ -83,25 +83,65 @@ def pairs_brute(rows, t: float) -> dict:
     return out
 
 
-@pytest.mark.parametrize("members", [2, 500])
-def test_all_pairs_spells_copies_out(spark, monkeypatch, members):
-    monkeypatch.setattr(jaccard_join, "MEMBERS", members)
+def classes_brute(rows, t: float = 0.5) -> list[tuple]:
+    """(doc_id, class_id, links) by comparing every row with every other."""
+    sets = [(i, grams(x) if x else frozenset()) for i, x in rows if i is not None]
+    links, parent = {i: 0 for i, _ in sets}, {i: i for i, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (a, s) in enumerate(sets):
+        for b, o in sets[:k]:
+            inter = len(s & o)
+            if inter and inter / (len(s) + len(o) - inter) >= t - 1e-12:
+                links[a] += 1
+                links[b] += 1
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return sorted((i, find(i), n) for i, n in links.items())
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_classes_and_links_are_exact(spark, monkeypatch, small):
+    """small: many batches, slices and blocks, dense groups cut both ways."""
+    if small:
+        for k, v in (("PACK_ENTRIES", 400), ("SLICE_BYTES", 3000), ("SLICE_POSTINGS", 300), ("BLOCK_PAIRS", 20), ("AT_ONCE", 50), ("PACK_POSTINGS", 100)):
+            monkeypatch.setattr(jaccard_join, k, v)
     rng = random.Random(6)
     rows = corpus(rng, 80)
     rows += [(1000 + i, rng.choice(rows[:12])[1]) for i in range(60)]  # groups of copies beside near copies
+    base = words(rng, 60, 5000)
+    rows += [(1100 + i, mutated(rng, base, 0.03)) for i in range(60)]  # a dense group of different texts
     # an id with two texts that are similar, and copies of either; and two that are not
     rows += [(2000, "a b c d e f"), (2000, "a b c d e g"), (2001, "a b c d e f"), (2002, "a b c d e g"), (3000, "p q r s"), (3000, "t u v w"), (3001, "p q r s"), (3002, "t u v w")]
     rows += [(r[0], r[1]) for r in hard_rows(random.Random(1))] + [(20, "One!")]
-    got = {(a, b): j for a, b, j in taken(jaccard_join.all_pairs(docs(spark, rows)))}
-    assert got == pairs_brute(rows, 0.5)
-    assert (2001, 2002) in got and (3001, 3002) not in got and (11, 20) in got
+    for clash in (False, True):
+        got = [tuple(r) for r in taken(jaccard_join.ngram_jaccard_join(docs(spark, rows, clash).repartition(3, "doc_id")).select("doc_id", "class_id", "links"))]
+        assert sorted(got) == classes_brute(rows)
+    by = {i: c for i, c, _ in got}
+    assert by[2001] == by[2002] == 2000 and by[3001] == by[3002] == 3000 and by[20] == by[11] == 4
+
+
+def test_classes_of_empty_tables(spark):
+    assert taken(jaccard_join.ngram_jaccard_join(docs(spark, []))) == []
+    assert taken(jaccard_join.ngram_jaccard_join(docs(spark, [(None, "a b c d"), (1, None), (2, ""), (2, "")]))) == [(1, 1, 0), (2, 2, 0)]
 
 
-def test_all_pairs_match_sql(spark):
-    from quillon.llm import queries
-    from tests.oracle import SMALL, assert_same
+@pytest.mark.parametrize("n", [1, 2, 9, 40])
+def test_forest_is_components(n):
+    import numpy as np
 
-    assert_same(queries.op3_jaccard_all_pairs(spark, SMALL), queries.ORACLE_SQL["op3_jaccard_all_pairs"])
+    rng = np.random.default_rng(n)
+    for m in (0, n, 3 * n):
+        x, y = rng.integers(0, n, m), rng.integers(0, n, m)
+        label = list(range(n))
+        for _ in range(n):
+            for a, b in zip(x, y):
+                label[a] = label[b] = min(label[a], label[b])
+        assert jaccard_join._forest(x, y, n).tolist() == label
 
 
 def test_boundary_has_least_cost():
@@ -114,23 +154,23 @@ def test_boundary_has_least_cost():
 def test_jaccard_hard_rows(spark):
     rows = [(r[0], r[1]) for r in hard_rows(random.Random(1))] + [(20, "One!"), (21, "a b c d"), (21, "a b c e"), (22, "a b c d")]
     for clash in (False, True):
-        got = {(a, b): j for a, b, j in taken(jaccard_join.ngram_jaccard_join(docs(spark, rows, clash)))}
+        got = {(a, b): j for a, b, j in taken(jaccard_join.similar_pairs(docs(spark, rows, clash)))}
         assert got == jaccard_brute(rows, 0.5)
     assert (4, 11) in got and (5, 6) in got and (5, 5) not in got
 
 
 def test_jaccard_empty_and_all_null(spark):
-    assert taken(jaccard_join.ngram_jaccard_join(docs(spark, []))) == []
-    assert taken(jaccard_join.ngram_jaccard_join(docs(spark, [(None, "a b c d"), (1, None)]))) == []
+    assert taken(jaccard_join.similar_pairs(docs(spark, []))) == []
+    assert taken(jaccard_join.similar_pairs(docs(spark, [(None, "a b c d"), (1, None)]))) == []
     with pytest.raises(ValueError):
-        jaccard_join.ngram_jaccard_join(docs(spark, []), 0)
+        jaccard_join.similar_pairs(docs(spark, []), 0)
 
 
 def test_thousands_of_copies_cost_a_row_each(spark):
     rng = random.Random(2)
     base = words(rng, 50)
     rows = [(i, base) for i in range(3000)] + [(i, mutated(rng, base, 0.01)) for i in range(3000, 3200)]
-    pairs = jaccard_join.ngram_jaccard_join(docs(spark, rows))
+    pairs = jaccard_join.similar_pairs(docs(spark, rows))
     assert sum(1 for a, b, j in taken(pairs) if a == 0 and b < 3000) == 2999
     kept = {r[0] for r in jaccard_join.keep(docs(spark, rows)).select("doc_id").collect()}
     parent = {i: i for i, _ in rows}
@@ -157,24 +197,6 @@ def test_keep_leaves_one_of_each_group_and_all_columns(spark):
     assert jaccard_join.keep(docs(spark, [])).count() == 0
 
 
-def test_groups_are_components(spark):
-    rng = random.Random(3)
-    edges = [(min(a, b), max(a, b)) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(200)) if a != b]
-    edges += [(1000 + i, 1001 + i) for i in range(100)]  # a long chain
-    got = dict(taken(jaccard_join.groups(spark.createDataFrame([(a, b, 1.0) for a, b in edges], "doc_a long, doc_b long, jaccard double"))))
-    parent: dict = {}
-
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        a, b = sorted((find(a), find(b)))
-        parent[b] = a
-    assert got == {x: find(x) for x in parent if find(x) != x}
-
-
 # --- BM25 -----------------------------------------------------------------------------------------------------------
 
 
