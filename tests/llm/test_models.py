@@ -33,7 +33,7 @@ def test_held_out_accuracy(spark):
 def test_steps_are_family_then_pairs():
     rng = random.Random(3)
     rows = [(sentence(rng, lang, 40), lang) for lang in ALPHABET for _ in range(20)]
-    model = lang_id.Model([t for t, _ in rows], [c for _, c in rows])
+    model = lang_id.Model(lang_id.frequencies([t for t, _ in rows]), [c for _, c in rows])
     assert [t for t in model.tasks if t[0] == "family"] == [("family", f, "") for f in ("germanic", "romance", "slavic")]
     assert [t for t in model.tasks if t[0] != "family"] == [("germanic", "de", "en"), ("romance", "es", "fr")]
 
@@ -42,9 +42,26 @@ def test_svm_separates_and_is_deterministic():
     rng = np.random.default_rng(0)
     x = np.hstack([rng.normal(size=(200, 5)) + np.repeat([[2.0], [-2.0]], 100, 0), np.ones((200, 1))])
     y = np.repeat([1.0, -1.0], 100)
-    w = lang_id.train_svm(x, y)
+    rows = [(np.arange(6), v) for v in x]
+    w = lang_id.train_svm(rows, y, 6)
     assert ((x @ w > 0) == (y > 0)).mean() > 0.99
-    assert (w == lang_id.train_svm(x, y)).all()
+    assert (w == lang_id.train_svm(rows, y, 6)).all()
+    # no direction lowers the loss of the primal: it is solved
+    loss = lambda v: 0.5 * v @ v + 10 * (np.maximum(0, 1 - y * (x @ v)) ** 2).sum()
+    w = lang_id.train_svm(rows, y, 6, epochs=300)
+    assert all(loss(w) <= loss(w + d) + 1e-6 for d in rng.normal(size=(50, 6)) * 1e-2)
+
+
+@pytest.mark.parametrize("langs", [["en"], ["en", "de"], ["en", "fr"], ["en", "de", "fr", "es", "ru"]])
+def test_predictions_match_brute_force(spark, langs):
+    rng = random.Random(8)
+    known = [(sentence(rng, c, 30), c) for c in langs for _ in range(12)]
+    model = lang_id.Model(lang_id.frequencies([t for t, _ in known]), [c for _, c in known])
+    rows = [(i, sentence(rng, rng.choice(list(ALPHABET)), rng.choice([1, 5, 60])), None, "web") for i in range(60)] + [(100 + i, r[1]) for i, r in enumerate(hard_rows(rng)[:10])]
+    for r in lang_id.language_id(docs(spark, rows), model=model).collect():
+        family, lang, margin = lang_id.brute_force(model, next(x[1] for x in rows if x[0] == r.doc_id))
+        assert (r.family, r.predicted) == (family, lang) and abs(r.margin - margin) < 1e-4
+        assert r.accepted == (r.margin >= lang_id.MARGIN and r.margin > 0) or abs(margin - lang_id.MARGIN) < 1e-4
 
 
 @pytest.mark.parametrize("langs", [[], ["en"], ["en", "de"], ["en", "fr"]])
