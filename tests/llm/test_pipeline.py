@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from quillon.llm import jaccard_join, packing, queries
+from quillon.llm import jaccard_join, queries
 from tests.llm.data import CLASH, docs, taken
 from tests.llm.test_search_join import jaccard_brute
 from tests.oracle import SMALL, assert_same
@@ -67,4 +67,3 @@ def test_stages_take_empty_tables_and_clashing_columns(spark, clash):
 def test_packing_reads_what_mixing_kept(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns == ["bin_id", "doc_id", "piece", "start", "n_tokens"]
-    assert packing.SALTS > 1
