@@ -160,6 +160,23 @@ def test_quality_hard_rows(spark):
     assert quality.keep(docs(spark, []), labels(spark, [])).collect() == []
 
 
+def test_null_and_empty_texts_have_no_features(spark):
+    _, _, table = quality.fit(docs(spark, [(1, None), (2, ""), (3, "$$$ ABC")]), labels(spark, [(3, 1, 0)]))
+    by = {r._id: r for r in table.collect()}
+    assert all(by[i][f"_{k}"] == 0 for i in (1, 2) for k in quality.FEATURES) and by[1]._vocabulary == by[2]._vocabulary == 10
+    assert by[3]._symbols == 20 and by[3]._capitals == 10 and by[3]._size == 1
+
+
+def test_words_tell_what_counts_do_not(spark):
+    """Good and bad texts of the same shape, told apart by their words alone; judged on labels that were held back."""
+    rng = random.Random(9)
+    pick = lambda k: " ".join(f"{'pq'[rng.random() < (0.7 if k else 0.3)]}{rng.randrange(100):03}" for _ in range(40))
+    rows = [(i, pick(i % 7 == 0), "en", "web") for i in range(700)]
+    out = quality.quality(docs(spark, rows), labels(spark, [(i, int(i % 7 == 0), 0) for i in range(0, 700, 2)])).collect()
+    held = [r for r in out if r.doc_id % 2]
+    assert sum(r.accepted == (r.doc_id % 7 == 0) for r in held) >= 0.95 * len(held)
+
+
 def test_no_labels(spark):
     out = quality.quality(docs(spark, site_rows(20)[0]), labels(spark, [])).collect()
     assert all(r.evidence == 0 and abs(r.prior - 0.5) < 0.1 for r in out)
