@@ -12,8 +12,8 @@ from quillon.llm.tokens import n_tokens
 
 #: Pieces of one length class that are numbered together about: larger classes are parted by their counts, so that no task sorts a whole one.
 PART_PIECES = 500_000
-#: How often the linear program covers every class before it is scaled, and how much of a class one step covers at most.
-COVERS, STEP = 4.0, 0.25
+#: How often the linear program covers every class before it is scaled, how much of a class one step covers at most (less with less than 40 classes, as rounds are cheap then), and how fast weights fall.
+COVERS, STEP, SHARP = 4.0, 0.25, 2.0
 
 
 def _sums(f: np.ndarray, c: int) -> np.ndarray:
@@ -63,6 +63,7 @@ def solve(size: np.ndarray, count: np.ndarray, room: int, covers: float = COVERS
     one class at least, so there are at most classes * covers / step of them, whatever the counts. Prices under which no
     bin is worth more than 1 bound the value from below (duality).
     """
+    step *= min(1.0, max(0.05, len(size) / 40))
     weight, covered, taken, bound = np.ones(len(size)), np.zeros(len(size)), {}, 0.0
     while (todo := covered < covers - 1e-9).any():
         value = np.where(todo, weight, 0.0) / count
@@ -74,7 +75,7 @@ def solve(size: np.ndarray, count: np.ndarray, room: int, covers: float = COVERS
         x = (count[has] / config[has]).min() * step
         part = x * config / count
         covered += part
-        weight *= np.exp(-2.0 * part)
+        weight *= np.exp(-SHARP * part)
         weight /= weight[todo].max()
         key = config.tobytes()
         taken[key] = taken.get(key, 0.0) + x
@@ -105,13 +106,13 @@ def _fill(size: np.ndarray, left: np.ndarray, room: int) -> list[tuple[np.ndarra
 def plan(size: np.ndarray, count: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
     """(configuration, times) pairs that hold exactly count[i] of every class i. The work depends on the number of classes alone, not on the counts.
 
-    The program's bins are rounded so that what is cut from one is carried to the next (largest first), as far as there
-    are pieces; what is left is packed best-fit. Should best-fit alone need fewer bins, its plan is taken.
+    The program's bins are rounded so that what is cut from one is carried to the next (fullest first, then the most
+    frequent), as far as there are pieces; what is left is packed best-fit. Should best-fit alone need fewer bins, its plan is taken.
     """
     order = np.argsort(size)
     size, count = size[order], count[order].astype(np.int64)
     left, out, carry = count.copy(), [], 0.0
-    for config, x in sorted(solve(size, count, room)[0] if len(size) else [], key=lambda p: (-p[1], p[0].tobytes())):
+    for config, x in sorted(solve(size, count, room)[0] if len(size) else [], key=lambda p: (-int(p[0] @ size), -p[1], p[0].tobytes())):
         has = config > 0
         times = min(int(x + carry + 1e-9), int((left[has] // config[has]).min()))
         carry = min(1.0, x + carry - times)

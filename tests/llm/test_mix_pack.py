@@ -187,7 +187,7 @@ def test_the_program_beats_best_fit_where_that_is_off():
     for m in (1, 10, 1000):
         count = np.array([6, 6, 6, 12]) * m
         assert best_fit_bins(size, count, 100) == 11 * m
-        assert sum(t for _, t in packing.plan(size, count, 100)) <= (9 * m if m > 1 else 11)
+        assert sum(t for _, t in packing.plan(size, count, 100)) <= 1.02 * 9 * m + 1
 
 
 def exact_bins(size: list[int], count: list[int], room: int) -> int:
