@@ -17,6 +17,7 @@ FEATURES: dict[str, str] = {
     "word_length": "least(20, length(_text) div size(_all))",
     "variety": "greatest(0, least(20, cast(floor(40 * ln(1 + size(_distinct)) / ln(1 + size(_all))) as bigint) - 20))",  # of logarithms, as long texts repeat more
     "size": "least(20, cast(floor(log2(1 + size(_all))) as bigint))",
+    "repeats": "least(20, (20 * size(filter(_all, (w, i) -> i > 0 AND w = _all[i - 1]))) div size(_all))",
     "lines": "least(20, cast(floor(2 * log2(1 + size(_lines) - size(array_distinct(_lines)))) as bigint))",
 }
 #: Buckets of hashed words; pseudo-documents of a bucket, parted between the labels like the documents.
@@ -76,19 +77,19 @@ def fit(docs: DataFrame, labels: DataFrame, extra: list[str] | None = None) -> t
 
     All counts cover all documents and all labels. The classifier is naive Bayes in two steps: hashed words give each
     text the mean ratio of its words, one more bin beside the counts; then the bins' ratios add up. A labelled text's
-    words are judged by ratios of the other half of the labels (by parity of id), so that no text vouches for itself.
+    words are judged by ratios of the other half of the labels (parted by a hash of the id), so that no text vouches for itself.
     Every document then counts towards its path and host with its label or, lacking one, its posterior under the corpus'
     rate; path rates shrink towards their host's, host rates towards the corpus', by weights taken from how much sites
     differ, which lie between LEAST_WEIGHT and MOST_WEIGHT documents.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("_label"))
     table = features(docs, [F.col("doc_id").cast("long").alias("_id"), *site(), *(docs[c] for c in extra or [])])
-    table = write_table(table.join(known, "_id", "left").withColumn("_fold", F.pmod("_id", F.lit(2))), "quality")
+    table = write_table(table.join(known, "_id", "left").withColumn("_fold", F.expr("conv(substr(md5(cast(_id as string)), 1, 1), 16, 10) % 2").cast("int")), "quality")
     ratios = {f: F.expr(f"from_json('{r}', 'array<int>')") for f, r in _word_ratios(table).items()}  # folded to one literal each
     ratio = F.when(F.col("_label").isNull(), ratios[None]).when(F.col("_fold") == 0, ratios[1]).otherwise(ratios[0])
     total = F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.get(F.col("_ratio"), w))
     n = F.size("_words").cast("long")
-    bin_ = F.least(F.lit(20), F.greatest(F.lit(0), F.expr("(_sum + 10000 * _n) div (100 * _n)") - 90))  # tenths of the mean, from -1 to 1
+    bin_ = F.least(F.lit(20), F.greatest(F.lit(0), F.expr("(_sum + 10000 * _n) div (200 * _n)") - 40))  # fifths of the mean, from -2 to 2
     table = table.withColumn("_ratio", ratio).withColumn("_sum", total).withColumn("_n", n).withColumn("_vocabulary", F.when(F.col("_n") == 0, 10).otherwise(bin_).cast("int")).drop("_ratio", "_sum", "_n", "_words")
     table = write_table(table, "bins")
     every = [*FEATURES, "vocabulary"]
@@ -141,28 +142,29 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
 
 
 def _sql() -> str:
-    words, lines = "regexp_split_to_array(text, '[ \\t\\n]+')", "string_split(text, chr(10))"
+    words, lines = "wl", "string_split(text, chr(10))"
     count = lambda p: f"len(regexp_extract_all(text, '{p}'))"
     bins = {
         "symbols": f"least(20, (50 * {count('[*#$%&!|<>{}=~^]')}) // length(text))", "capitals": f"least(20, (25 * {count('[A-Z]')}) // length(text))", "digits": f"least(20, (50 * {count('[0-9]')}) // length(text))",
         "word_length": f"least(20, length(text) // len({words}))", "variety": f"greatest(0, least(20, floor(40 * ln(1 + len(list_distinct({words}))) / ln(1 + len({words})))::BIGINT - 20))",
-        "size": f"least(20, floor(log2(1 + len({words})))::BIGINT)", "lines": f"least(20, floor(2 * log2(1 + len({lines}) - len(list_distinct({lines}))))::BIGINT)",
+        "size": f"least(20, floor(log2(1 + len({words})))::BIGINT)", "repeats": f"least(20, (20 * len(list_filter(range(1, len({words})), lambda i: {words}[i] = {words}[i + 1]))) // len({words}))", "lines": f"least(20, floor(2 * log2(1 + len({lines}) - len(list_distinct({lines}))))::BIGINT)",
     }
     every = [*FEATURES, "vocabulary"]
     stacked = " UNION ALL ".join(f"SELECT '{k}' AS f, {k} AS bin, label FROM feat" for k in every)
     evidence = " + ".join(f"(SELECT ratio FROM llr WHERE llr.f = '{k}' AND llr.bin = feat.{k})" for k in every)
     weight = lambda parent, table: f"(SELECT CASE WHEN b <= 0 THEN {MOST_WEIGHT}::DOUBLE ELSE least({MOST_WEIGHT}::DOUBLE, greatest({LEAST_WEIGHT}::DOUBLE, s / b - 1)) END FROM (SELECT (sum(n * (good / n - {parent}) * (good / n - {parent})) - sum({parent} * (1 - {parent}))) / sum(n) AS b, sum(n * {parent} * (1 - {parent})) / sum(n) AS s FROM {table}))"
     return f"""
-WITH lab AS (SELECT doc_id, (avg(quality) >= 0.5)::INTEGER AS label FROM labels GROUP BY 1),
-feat0 AS (SELECT row_number() OVER () AS r, d.doc_id, source AS host, source || '/' || lang AS path, label, CASE WHEN label IS NOT NULL THEN 1 - d.doc_id % 2 ELSE 2 END AS fold, {", ".join(f"CASE WHEN length(text) > 0 THEN {e} ELSE 0 END AS {k}" for k, e in bins.items())},
-  CASE WHEN length(text) > 0 THEN list_distinct(list_transform(list_distinct({words}), lambda w: ('0x' || substr(md5(w), 1, 3))::INTEGER)) ELSE [] END AS ws FROM documents d LEFT JOIN lab USING (doc_id)),
-ex AS (SELECT r, doc_id % 2 AS parity, label, fold, unnest(ws) AS b FROM feat0),
+WITH d AS MATERIALIZED (SELECT *, regexp_split_to_array(text, '[ \\t\\n]+') AS wl FROM documents),
+lab AS (SELECT doc_id, (avg(quality) >= 0.5)::INTEGER AS label FROM labels GROUP BY 1),
+feat0 AS (SELECT row_number() OVER () AS r, d.doc_id, source AS host, source || '/' || lang AS path, label, CASE WHEN label IS NOT NULL THEN 1 - ('0x' || substr(md5(d.doc_id::VARCHAR), 1, 1))::INTEGER % 2 ELSE 2 END AS fold, {", ".join(f"CASE WHEN length(text) > 0 THEN {e} ELSE 0 END AS {k}" for k, e in bins.items())},
+  CASE WHEN length(text) > 0 THEN list_distinct(list_transform(list_distinct({words}), lambda w: ('0x' || substr(md5(w), 1, 3))::INTEGER)) ELSE [] END AS ws FROM d LEFT JOIN lab USING (doc_id)),
+ex AS (SELECT r, ('0x' || substr(md5(doc_id::VARCHAR), 1, 1))::INTEGER % 2 AS parity, label, fold, unnest(ws) AS b FROM feat0),
 folds AS (SELECT * FROM (VALUES (0), (1), (2)) AS v(fold)),
-nd AS (SELECT folds.fold, count(*) FILTER (label = 1)::DOUBLE AS g, count(*) FILTER (label = 0)::DOUBLE AS b FROM folds JOIN feat0 f ON label IS NOT NULL AND (folds.fold = 2 OR f.doc_id % 2 = folds.fold) GROUP BY 1),
+nd AS (SELECT folds.fold, count(*) FILTER (label = 1)::DOUBLE AS g, count(*) FILTER (label = 0)::DOUBLE AS b FROM folds JOIN feat0 f ON label IS NOT NULL AND (folds.fold = 2 OR ('0x' || substr(md5(f.doc_id::VARCHAR), 1, 1))::INTEGER % 2 = folds.fold) GROUP BY 1),
 wc AS (SELECT folds.fold, ex.b, count(*) FILTER (label = 1)::DOUBLE AS g1, count(*) FILTER (label = 0)::DOUBLE AS b1 FROM folds JOIN ex ON label IS NOT NULL AND (folds.fold = 2 OR parity = folds.fold) GROUP BY 1, 2),
 wr AS (SELECT fold, wc.b, round(1000 * (ln((g1 + {WORD_SMOOTH}::DOUBLE * (g / (g + nd.b))) / g) - ln((b1 + {WORD_SMOOTH}::DOUBLE * (1 - g / (g + nd.b))) / nd.b)))::BIGINT AS ratio FROM wc JOIN nd USING (fold) WHERE g > 0 AND nd.b > 0),
 ws AS (SELECT r, sum(coalesce(ratio, 0))::BIGINT AS total, count(*) AS n FROM ex LEFT JOIN wr USING (fold, b) GROUP BY 1),
-feat AS (SELECT feat0.*, CASE WHEN n IS NULL THEN 10 ELSE least(20, greatest(0, (total + 10000 * n) // (100 * n) - 90)) END AS vocabulary FROM feat0 LEFT JOIN ws USING (r)),
+feat AS (SELECT feat0.*, CASE WHEN n IS NULL THEN 10 ELSE least(20, greatest(0, (total + 10000 * n) // (200 * n) - 40)) END AS vocabulary FROM feat0 LEFT JOIN ws USING (r)),
 st AS ({stacked}), tot AS (SELECT count(*) FILTER (label = 1)::DOUBLE AS g, count(*) FILTER (label = 0)::DOUBLE AS b FROM feat),
 llr AS (SELECT f, bin, ln((count(*) FILTER (label = 1) + 1.0::DOUBLE) / (any_value(g) + 21)) - ln((count(*) FILTER (label = 0) + 1.0::DOUBLE) / (any_value(b) + 21)) AS ratio FROM st, tot GROUP BY 1, 2),
 ev AS (SELECT doc_id, host, path, label, {evidence} AS e FROM feat),
