@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import bm25_wand, cube_mix, fingerprints, jaccard_join, lang_id, license_scan, packing, quality, token_store, warc
 from quillon.session import ship
 
 
+#: The vocabulary that op9 uses, on the driver alone.
+TOKENIZER = os.environ.get("QUILLON_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,7 +51,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.token_store(table(spark, sf_dir, "documents"))
+    return token_store.token_store(table(spark, sf_dir, "documents"), token_store.read_vocabulary(TOKENIZER))
 
 
 def op10_license_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillon.llm import fingerprints, license_scan, token_store, warc
+from quillon.llm import fingerprints, license_scan, queries, token_store, warc
 from tests.llm.data import docs, hard_rows, taken, words
 
 # --- fingerprints ---------------------------------------------------------------------------------------------------
@@ -219,7 +219,39 @@ def test_pages_round_trip(spark, tmp_path):
 
 # --- token store ----------------------------------------------------------------------------------------------------
 
-needs_tokenizer = pytest.mark.skipif(not os.path.exists(token_store.TOKENIZER), reason="no vocabulary file here")
+needs_tokenizer = pytest.mark.skipif(not os.path.exists(queries.TOKENIZER), reason="no vocabulary file here")
+
+
+def vocabulary() -> bytes:
+    return token_store.read_vocabulary(queries.TOKENIZER)
+
+
+@needs_tokenizer
+def test_store_matches_brute_force(spark):
+    """Every frame inflates, with the dictionary that its hash names, to the ids that the tokenizer gives its text."""
+    import hashlib
+
+    import zstandard
+
+    rng = random.Random(2)
+    rows = [(i, words(rng, rng.choice([1, 40, 5000])), "en", rng.choice(["hot", "hot", "hot", "rare"])) for i in range(300)]
+    store = token_store.token_store(docs(spark, rows), vocabulary())
+    out = {r.doc_id: r for r in store.collect()}
+    assert {r.dict_hash for r in out.values()} == {hashlib.sha256(store.dictionary).hexdigest()}
+    press = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(store.dictionary))
+    for i, text, *_ in rows:
+        assert press.decompress(out[i].frame) == token_store.encode(text, vocabulary()) and out[i].n_bytes == len(out[i].frame)
+    offset: dict = {}
+    for r in sorted(out.values(), key=lambda r: (r.shard, r.offset)):
+        assert r.offset == offset.get(r.shard, 0)
+        offset[r.shard] = r.offset + r.n_bytes
+
+
+def test_training_pieces_come_from_everywhere(spark):
+    rows = [(i, "h" * 100, "en", "hot") for i in range(400)] + [(1000, "a" * 8192 + "b" * 8192 + "c" * 100, "en", "rare"), (1001, None), (1002, "")]
+    got = [r[0] for r in token_store.training_pieces(docs(spark, rows), 6).collect()]
+    assert sorted(x[:1] for x in got) == ["a", "b", "c", "h", "h", "h"] and sorted(map(len, got))[-1] == 8192
+    assert len(token_store.training_pieces(docs(spark, rows), 9999).collect()) == 403
 
 
 @needs_tokenizer
@@ -228,7 +260,7 @@ def test_store_round_trip(spark, tmp_path):
 
     rng = random.Random(1)
     rows = [(i, words(rng, rng.choice([1, 10, 100]))) for i in range(400)] + hard_rows(rng)
-    store = token_store.token_store(docs(spark, rows, clash=True))
+    store = token_store.token_store(docs(spark, rows, clash=True), vocabulary())
     path = f"file://{tmp_path}/store"
     token_store.save(store, store.dictionary, path)
     index = spark.read.parquet(f"{path}/index").collect()
@@ -236,7 +268,7 @@ def test_store_round_trip(spark, tmp_path):
     texts: dict = {}
     for i, t, *_ in rows:
         texts.setdefault(i, []).append(t)
-    enc = token_store.encoder(token_store.TOKENIZER, token_store.PATTERN)
+    enc = token_store.encoder(vocabulary(), token_store.PATTERN)
     for r in index:
         if r.n_bytes is None:
             assert r.n_tokens is None and None in texts[r.doc_id]
@@ -244,22 +276,23 @@ def test_store_round_trip(spark, tmp_path):
         ids = token_store.read_document(path, r.shard, r.offset, r.n_bytes)
         assert len(ids) == r.n_tokens
         assert enc.decode(ids) in texts[r.doc_id]
-        assert ids == np.frombuffer(token_store.encode(enc.decode(ids)), "<u2").tolist()
+        assert ids == np.frombuffer(token_store.encode(enc.decode(ids), vocabulary()), "<u2").tolist()
 
 
 @needs_tokenizer
 def test_store_without_dictionary(spark):
-    out = token_store.token_store(docs(spark, [(1, "a"), (2, None), (3, "")])).collect()
+    with pytest.warns(UserWarning, match="no dictionary"):
+        out = token_store.token_store(docs(spark, [(1, "a"), (2, None), (3, "")]), vocabulary()).collect()
     by = {r.doc_id: r for r in out}
     assert {r.dict_hash for r in out} == {""} and by[2].frame is None and by[3].n_tokens == 0 and by[3].n_bytes > 0
-    assert token_store.token_store(docs(spark, [])).collect() == []
+    assert token_store.token_store(docs(spark, []), vocabulary()).collect() == []
 
 
 @needs_tokenizer
 def test_dictionary_helps_short_documents(spark):
     rng = random.Random(3)
     rows = [(i, words(rng, 30)) for i in range(600)]
-    size = lambda d: sum(r.n_bytes for r in token_store.token_store(docs(spark, rows), dictionary=d).select("n_bytes").collect())
+    size = lambda d: sum(r.n_bytes for r in token_store.token_store(docs(spark, rows), vocabulary(), dictionary=d).select("n_bytes").collect())
     assert size(None) < 0.9 * size(b"")
 
 
