@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import chunks, to_batch
+from quillon.llm.common import CHUNK_CHARS, chunks, lean, to_batch
 from quillon.llm.words import mix
 
 _RUN, _PLACE, _LEN = np.uint64(0xD1B54A32D192ED03), np.uint64(0x9E3779B97F4A7C15), np.uint64(0x8CB92BA72F3D8DD7)
@@ -123,7 +123,7 @@ def fingerprints(docs: DataFrame, level: int = 4) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts, 1_500_000):
+            for a, b in chunks(texts, CHUNK_CHARS):
                 full = [i for i in range(a, b) if texts[i]]
                 levels, root, names = parse_levels([texts[i] for i in full], wanted) if full else ([], [], [[] for _ in wanted])
                 at = dict(zip(full, range(len(full))))
@@ -132,7 +132,7 @@ def fingerprints(docs: DataFrame, level: int = 4) -> DataFrame:
                 lower = _lists([[n[at[i]] for n in names[1:]] if i in at else [_NONE] * (len(wanted) - 1) for i in range(a, b)])
                 yield to_batch(_OUT, doc_id=ids[a:b], n_chars=[None if t is None else len(t) for t in texts[a:b]], n_levels=[pick(levels, i, 0) for i in range(a, b)], root=[pick(root, i, None) for i in range(a, b)], signatures=lists, lower=lower)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), SCHEMA)
 
 
 def brute_force(text: str, level: int) -> tuple[int, int | None, list[int]]:

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import chunks, to_batch
+from quillon.llm.common import chunks, lean, to_batch
+from quillon.llm.license_texts import TEXTS
 from quillon.llm.words import mix, words
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
@@ -18,7 +19,7 @@ _ISC = """Permission to use, copy, modify, and/or distribute this software for a
 _ISC_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 _GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details."""
 
-#: (licence, text): a licence may have several. SQL-safe: no template holds a single quote.
+#: (licence, text): a licence may have several, notices and its whole text. SQL-safe: no template holds a single quote.
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -49,6 +50,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("all-rights-reserved", "All rights reserved."),
+    *TEXTS.items(),
 ]
 #: A passage is reported from this Dice coefficient on.
 THRESHOLD = 0.8
@@ -118,7 +120,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
                 if found:
                     yield to_batch(_OUT, doc_id=[ids[a + i] for i, _ in found], license=[n for _, n in found], dice=[round(d, 6) for d in found.values()])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, license string, dice double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, license string, dice double")
 
 
 def best_run(gram: np.ndarray, template: np.ndarray, threshold: float) -> float:
@@ -183,7 +185,7 @@ def license_runs(docs: DataFrame, templates: list[tuple[str, str]] | None = None
                 if found:
                     yield to_batch(_OUT, doc_id=[ids[a + i] for i, _ in found], license=[n for _, n in found], dice=[round(d, 6) for d in found.values()])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, license string, dice double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, license string, dice double")
 
 
 def brute_force_runs(rows: list[tuple], templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> list[tuple]:

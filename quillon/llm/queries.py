@@ -62,5 +62,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {k: f for k, f in sorted(globals().items()) if k.startswith("op")}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bm25_topk, op3_jaccard_join, op4_quality, op5_cube_mix, op6_fingerprints, op7_warc_normalise, op8_packing, op9_token_store, op10_license_scan, op10_license_runs)}
 ORACLE_SQL = {"op2_bm25_topk": bm25_wand.SQL, "op3_jaccard_join": jaccard_join.SQL, "op4_quality": quality.SQL, "op10_license_scan": license_scan.SQL}
