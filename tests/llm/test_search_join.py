@@ -3,6 +3,9 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from quillon.llm import bm25_wand, jaccard_join
@@ -224,6 +227,28 @@ def test_bm25_passes_of_queries(spark, monkeypatch):
     assert got == sorted(bm25_wand.brute_force(rows, queries, 4), key=repr)
 
 
+def test_one_index_serves_many_searches(spark, monkeypatch):
+    """The stored index knows no query; its block bounds hold whatever is asked, and blocks that can't matter aren't read."""
+    monkeypatch.setattr(bm25_wand, "BLOCK_DOCS", 8)
+    rng = random.Random(11)
+    rows = [(i, words(rng, rng.choice([5, 50]), 200)) for i in range(500)]
+    index = bm25_wand.build_index(docs(spark, rows))
+    for k in (1, 5):
+        queries = [(i, words(rng, 4, 200)) for i in range(15)]
+        assert taken(bm25_wand.search(index, queries, k)) == sorted(bm25_wand.brute_force(rows, queries, k), key=repr)
+    assert taken(bm25_wand.search(index, queries, 3, 0.9, 0.4)) == sorted(bm25_wand.brute_force(rows, queries, 3, 0.9, 0.4), key=repr)
+    read = []
+    plain = bm25_wand._expand
+    monkeypatch.setattr(bm25_wand, "_expand", lambda begin, size: read.append(size.sum()) or plain(begin, size))
+    terms = sorted({t for _, q in queries for t in q.split()})
+    h = np.unique(bm25_wand._tokens(terms)[0].view(np.int64))
+    table = index.toArrow()
+    one = table.filter(pa.compute.and_(pa.compute.equal(table["shard"], table["shard"][0]), pa.compute.or_kleene(table["term"].is_null(), pa.compute.is_in(table["term"], pa.array(h)))))
+    every = sum(x for x, t in zip(one["df"].to_pylist(), one["term"].to_pylist()) if t is not None)
+    bm25_wand._searcher([0], [np.arange(len(h))], np.ones(len(h)), h, 20.0, 1, 1.2, 0.75)(one)
+    assert 0 < sum(read) < every
+
+
 def test_bm25_hard_rows(spark):
     rows = hard_rows(random.Random(1))
     plain = [(r[0], r[1]) for r in rows]
