@@ -245,8 +245,11 @@ def test_one_index_serves_many_searches(spark, monkeypatch):
     table = index.toArrow()
     one = table.filter(pa.compute.and_(pa.compute.equal(table["shard"], table["shard"][0]), pa.compute.or_kleene(table["term"].is_null(), pa.compute.is_in(table["term"], pa.array(h)))))
     every = sum(x for x, t in zip(one["df"].to_pylist(), one["term"].to_pylist()) if t is not None)
-    bm25_wand._searcher([0], [np.arange(len(h))], np.ones(len(h)), h, 20.0, 1, 1.2, 0.75)(one)
-    assert 0 < sum(read) < every
+    # a rare term and a common one: once a document with the rare one is found, blocks without it can't matter
+    df = np.array([sum(x for x, t in zip(one["df"].to_pylist(), one["term"].to_pylist()) if t == v) for v in h.tolist()])
+    query, idf = np.array([int(np.argmin(np.where(df > 0, df, 1 << 30))), int(np.argmax(df))]), np.log(1 + 500 / (1 + df))
+    bm25_wand._searcher([0], [query], idf, h, 20.0, 1, 1.2, 0.75)(one)
+    assert 0 < sum(read) < df[query].sum() < every
 
 
 def test_bm25_hard_rows(spark):
