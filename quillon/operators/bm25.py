@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import tokenize
 from quillon.sources.errors import ConfigurationError
+from quillon.sources.workspace import write_table
 
 
 @dataclass(frozen=True)
@@ -97,8 +98,11 @@ def field_scores(index: Bm25Index, queries: DataFrame, fields: list[str] | None
     """(query_id, ns, id, field, term, part): what each query term adds. Only postings of query terms are touched."""
     postings = index.postings.where(F.col("field").isin(*fields)) if fields else index.postings
     terms = query_terms(queries, index.config)
-    df = index.frequencies.join(terms.select("ns", "term").distinct(), ["ns", "term"], "left_semi")
-    hits = postings.join(terms, ["ns", "term"]).join(df, ["ns", "field", "term"]).join(index.lengths, ["ns", "field", "id"]).join(index.corpus, ["ns", "field"])
+    # terms that no query has go before postings are counted; what is left, and the lengths, are taken from the texts once
+    postings = write_table(postings.join(terms.select("ns", "term").distinct(), ["ns", "term"], "left_semi"), "postings")
+    lengths = write_table(index.lengths, "lengths")
+    asked = Bm25Index(postings, lengths, index.config)
+    hits = postings.join(terms, ["ns", "term"]).join(asked.frequencies, ["ns", "field", "term"]).join(lengths, ["ns", "field", "id"]).join(asked.corpus, ["ns", "field"])
     part = term_score(idf(F.col("n").cast("double"), F.col("df").cast("double")), F.col("tf").cast("double"), F.col("len").cast("double"), F.col("avgdl"), index.config.k1, index.config.b)
     return hits.select("query_id", "ns", "id", "field", "term", part.alias("part"))
 

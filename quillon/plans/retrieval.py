@@ -31,7 +31,8 @@ near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity
 """
 
 
-#: The same with every vector as a query.
+#: The same with those as queries whose ids are divisible by 100, and with every vector.
+KNN_100_CTE = KNN_CTE.replace("q.vec_id IN (SELECT item_id FROM benchmark)", "q.vec_id % 100 = 0")
 KNN_ALL_CTE = KNN_CTE.replace(" WHERE q.vec_id IN (SELECT item_id FROM benchmark)", "")
 
 
@@ -40,11 +41,16 @@ def _index(spark, sf_dir):
 
 
 def _vector_queries(spark, sf_dir) -> DataFrame:
-    """The vectors whose ids are those of the benchmark's items."""
+    """For hybrid search, which asks with a text and a vector: the vectors whose ids are those of the benchmark's items."""
     items = tables.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
     return tables.vectors(spark, sf_dir).join(items, "id", "left_semi").select(F.col("id").alias("query_id"), "ns", "embedding")
 
 
+def _hundredths(spark, sf_dir) -> DataFrame:
+    """The query set of vector searches: every vector whose id is divisible by 100, against all vectors."""
+    return tables.vectors(spark, sf_dir).where("id % 100 = 0").select(F.col("id").alias("query_id"), "ns", "embedding")
+
+
 @query(f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_terms, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\f\\r]+'), lambda x: x <> ''))::BIGINT AS n_spaced FROM (SELECT doc_id, text, {TOKENS.format('text')} AS t FROM documents)")
 def tokenize_stats(spark, sf_dir):
     d = tables.load(spark, sf_dir, "documents").select("doc_id", "text", text.tokenize("text").alias("t"))
@@ -138,9 +144,9 @@ def vec_variance(spark, sf_dir):
     return vectors.variance(tables.vectors(spark, sf_dir), "label").select("label", "n", F.round("variance", 6).alias("variance"))
 
 
-@query(f"WITH {KNN_CTE} SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM near WHERE rank <= 20")
+@query(f"WITH {KNN_100_CTE} SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM near WHERE rank <= 20")
 def knn(spark, sf_dir):
-    r = vectors.nearest_neighbors(tables.vectors(spark, sf_dir), _vector_queries(spark, sf_dir))
+    r = vectors.nearest_neighbors(tables.vectors(spark, sf_dir), _hundredths(spark, sf_dir))
     return r.select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -196,15 +202,15 @@ def keyset_page(spark, sf_dir):
     return vectors.list_page(v, "default", 10, 100, vectors.metadata_filter({"label": 2})).select("id", "total", "next_cursor")
 
 
-@query(f"WITH {KNN_CTE}, s AS (SELECT query_id, similarity AS s FROM near WHERE rank <= 20), t AS (SELECT query_id, s, sum(s) OVER (PARTITION BY query_id) AS t FROM s) SELECT query_id, count(*) AS n, round(avg(-ln(greatest(1e-9::DOUBLE, least(1::DOUBLE, s)))), 6) + 0 AS mean_surprisal, round(sum(CASE WHEN t >= 1e-9 AND s > 0 THEN -s / t * ln(s / t) ELSE 0 END), 6) AS entropy FROM t GROUP BY 1")
+@query(f"WITH {KNN_100_CTE}, s AS (SELECT query_id, similarity AS s FROM near WHERE rank <= 20), t AS (SELECT query_id, s, sum(s) OVER (PARTITION BY query_id) AS t FROM s) SELECT query_id, count(*) AS n, round(avg(-ln(greatest(1e-9::DOUBLE, least(1::DOUBLE, s)))), 6) + 0 AS mean_surprisal, round(sum(CASE WHEN t >= 1e-9 AND s > 0 THEN -s / t * ln(s / t) ELSE 0 END), 6) AS entropy FROM t GROUP BY 1")
 def result_entropy(spark, sf_dir):
-    r = vectors.nearest_neighbors(tables.vectors(spark, sf_dir), _vector_queries(spark, sf_dir))
+    r = vectors.nearest_neighbors(tables.vectors(spark, sf_dir), _hundredths(spark, sf_dir))
     return vectors.result_statistics(r).select("query_id", "n", F.round("mean_surprisal", 6).alias("mean_surprisal"), F.round("entropy", 6).alias("entropy"))
 
 
-@query(f"WITH {KNN_CTE}, s AS (SELECT query_id, similarity AS s FROM near WHERE rank <= 20), t AS (SELECT query_id, s, sum(s) OVER (PARTITION BY query_id) AS t FROM s), h AS (SELECT query_id, count(*) AS n, sum(CASE WHEN t >= 1e-9 AND s > 0 THEN -s / t * ln(s / t) ELSE 0 END) AS h FROM t GROUP BY 1) SELECT query_id, round(greatest(0::DOUBLE, least(1::DOUBLE, h * greatest(0::DOUBLE, least(2::DOUBLE, ln(1 + n) / ln(1 + greatest(500, 1)::DOUBLE))))), 6) AS gain FROM h")
+@query(f"WITH {KNN_100_CTE}, s AS (SELECT query_id, similarity AS s FROM near WHERE rank <= 20), t AS (SELECT query_id, s, sum(s) OVER (PARTITION BY query_id) AS t FROM s), h AS (SELECT query_id, count(*) AS n, sum(CASE WHEN t >= 1e-9 AND s > 0 THEN -s / t * ln(s / t) ELSE 0 END) AS h FROM t GROUP BY 1) SELECT query_id, round(greatest(0::DOUBLE, least(1::DOUBLE, h * greatest(0::DOUBLE, least(2::DOUBLE, ln(1 + n) / ln(1 + greatest(500, 1)::DOUBLE))))), 6) AS gain FROM h")
 def info_gain(spark, sf_dir):
-    r = vectors.nearest_neighbors(tables.vectors(spark, sf_dir), _vector_queries(spark, sf_dir))
+    r = vectors.nearest_neighbors(tables.vectors(spark, sf_dir), _hundredths(spark, sf_dir))
     return vectors.result_statistics(r).select("query_id", F.round(vec.expected_information_gain("entropy", "n", F.lit(500)), 6).alias("gain"))
 
 
