@@ -22,7 +22,7 @@ def test_other_queries_cover_their_table(spark, name):
     ids = {r[0] for r in out.select(key).collect()}
     every = {r[0] for r in table.select(key).collect()}
     assert ids <= every
-    if "mix" not in name:
+    if "mix" not in name and "license" not in name:  # these give rows for some documents only
         assert ids == every
 
 
