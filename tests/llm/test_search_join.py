@@ -133,6 +133,55 @@ def test_classes_of_empty_tables(spark):
     assert taken(jaccard_join.ngram_jaccard_join(docs(spark, [(None, "a b c d"), (1, None), (2, ""), (2, "")]))) == [(1, 1, 0), (2, 2, 0)]
 
 
+def test_places_and_hashes_come_back():
+    rng = np.random.default_rng(3)
+    for top in (1, 200, 256, 257, 3000, 60_000, 65_536):
+        for size in (0, 1, 7, 500):
+            x = rng.integers(0, top, size).astype(np.uint16)
+            assert jaccard_join.unpack_places(jaccard_join.pack_places(x)).tolist() == x.tolist()
+            h = rng.integers(0, 1 << 48, size).astype(np.uint64)
+            assert jaccard_join.eight_bytes(jaccard_join.six_bytes(h)).tolist() == h.tolist()
+            assert jaccard_join.raw_unplanes(jaccard_join.raw_planes(h), np.uint64).tolist() == h.tolist()
+    assert len(jaccard_join.pack_places(np.arange(2000).astype(np.uint16))) < 2800
+
+
+@pytest.mark.parametrize("light_to, most", [(-1, 2500), (99, 20_000)])
+def test_runs_of_common_ngrams_give_few_repeats(light_to, most):
+    """By lists and by subsets: a pair came once a common n-gram or subset (3,685 and 42,984 rows here); every similar pair must still be one."""
+    rng = np.random.default_rng(5)
+    base = [np.sort(rng.choice(10_000, 60, replace=False)) for _ in range(4)]
+    sets = [np.unique(np.where(rng.random(60) < rate, rng.integers(0, 10_000, 60), base[k % 4])) for k in range(24) for rate in (0.02, 0.3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array([len(x) for x in sets]), pa.array([jaccard_join.six_bytes(x.astype(np.uint64)) for x in sets], pa.binary())], names=["uid", "n", "tokens"])
+    made = pa.Table.from_batches(jaccard_join._postings(0.5, light_to, 500)([batch]))
+    rows, pairs = 0, set()
+    for s in sorted(set(made["slice"].to_pylist())):
+        for out in jaccard_join._candidates(0.5)(iter(made.filter(pa.compute.equal(made["slice"], s)).to_batches())):
+            rows, pairs = rows + out.num_rows, pairs | set(zip(out["b"].to_pylist(), out["o"].to_pylist()))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            assert both / (len(sets[a]) + len(sets[b]) - both) < 0.5 or (a, b) in pairs
+    assert rows < most
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import glob
+
+    from quillon.sources.workspace import write_table
+
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    there = lambda: {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    before = there()
+    lazy = spark.range(1000).selectExpr("id % 7 AS k", "id").groupBy("k").count()
+    table = write_table(lazy, "counts")
+    assert sorted(table.collect()) == sorted(lazy.collect())
+    lazy.write.format("noop").mode("overwrite").save()
+    known = there()
+    write_table(spark.range(1000).selectExpr("id % 9 AS k", "id").groupBy("k").count(), "counts")
+    assert there() <= known and known != before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
 @pytest.mark.parametrize("n", [1, 2, 9, 40])
 def test_forest_is_components(n):
     import numpy as np
