@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import keep_joined, write_table
+from quillon.sources.workspace import drop_table
 
 #: Features of a text, each an integer bin; RE2 and Java read the patterns alike, and all divisions are of integers.
 FEATURES: dict[str, str] = {
@@ -84,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, extra: list[str] | None = None) -> t
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("_label"))
     table = features(docs, [F.col("doc_id").cast("long").alias("_id"), *site(), *(docs[c] for c in extra or [])])
-    table = write_table(table.join(known, "_id", "left").withColumn("_fold", F.expr("conv(substr(md5(cast(_id as string)), 1, 1), 16, 10) % 2").cast("int")), "quality")
+    wide = table = write_table(table.join(known, "_id", "left").withColumn("_fold", F.expr("conv(substr(md5(cast(_id as string)), 1, 1), 16, 10) % 2").cast("int")), "quality")
     ratios = {f: F.expr(f"from_json('{r}', 'array<int>')") for f, r in _word_ratios(table).items()}  # folded to one literal each
     ratio = F.when(F.col("_label").isNull(), ratios[None]).when(F.col("_fold") == 0, ratios[1]).otherwise(ratios[0])
     total = F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.get(F.col("_ratio"), w))
@@ -92,6 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, extra: list[str] | None = None) -> t
     bin_ = F.least(F.lit(20), F.greatest(F.lit(0), F.expr("(_sum + 10000 * _n) div (200 * _n)") - 40))  # fifths of the mean, from -2 to 2
     table = table.withColumn("_ratio", ratio).withColumn("_sum", total).withColumn("_n", n).withColumn("_vocabulary", F.when(F.col("_n") == 0, 10).otherwise(bin_).cast("int")).drop("_ratio", "_sum", "_n", "_words")
     table = write_table(table, "bins")
+    drop_table(wide)  # the words of all texts; later stages shouldn't find them on disk
     every = [*FEATURES, "vocabulary"]
     stack = ", ".join(f"'{k}', _{k}" for k in every)
     counts = {(r[0], r[1], r[2]): r[3] for r in table.where("_label IS NOT NULL").select("_label", F.expr(f"stack({len(every)}, {stack}) AS (f, bin)")).groupBy("f", "bin", "_label").count().collect()}  # at most 21 bins a feature

@@ -187,3 +187,15 @@ def test_rows_are_the_same_in_any_order(spark):
     known = labels(spark, [(i, truth[i], 0) for i in range(50)])
     a = taken(quality.quality(docs(spark, rows), known))
     assert a == taken(quality.quality(docs(spark, rows[::-1]).repartition(3), known))
+
+
+def test_words_of_texts_leave_the_shared_folder(spark):
+    from pathlib import Path
+
+    from quillon.sources.workspace import shared_dir
+
+    wide = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("quillon-tables-*/quality-*"))
+    before = wide()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    assert quality.quality(docs(spark, labelled(4, 40)), labels).count() == 40
+    assert wide() == before
