@@ -2,11 +2,13 @@
 
 import random
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import bm25_wand, jaccard_join
 from tests.llm.data import docs, hard_rows, taken, words
@@ -133,6 +135,36 @@ def test_classes_of_empty_tables(spark):
     assert taken(jaccard_join.ngram_jaccard_join(docs(spark, [(None, "a b c d"), (1, None), (2, ""), (2, "")]))) == [(1, 1, 0), (2, 2, 0)]
 
 
+def test_counting_sends_few_bytes(spark):
+    """48-bit hashes with their places took 5.4 bytes an n-gram to the slices, and as many back if it was shared."""
+    rng = random.Random(9)
+    d = docs(spark, [(i, words(rng, 300, 5000)) for i in range(1000)]).coalesce(1)
+    n_grams = sum(len(grams(r[1])) for r in d.select("doc_id", "text").collect())
+    bits = (n_grams.bit_length()) + jaccard_join.NAME_BITS
+    sent = d.select("doc_id", "text").mapInArrow(jaccard_join._pack(3, 4, bits), jaccard_join._S1)
+    back = sent.groupBy("slice").applyInArrow(jaccard_join._count, jaccard_join._S2)
+    size = lambda df, names: sum(len(x) for r in df.select(*names).collect() for x in r)
+    assert size(sent, ("grams", "many", "counts")) < 2 * n_grams
+    assert size(back, ("shared",)) < n_grams / 6
+
+
+def test_ascending_numbers_come_back():
+    rng = np.random.default_rng(4)
+    for top in (1, 2, 1000, 1 << 20, 1 << 44):
+        for size in (0, 1, 2, 9, 900):
+            x = np.unique(rng.integers(0, top, size).astype(np.uint64))
+            assert jaccard_join.unsparse(jaccard_join.sparse(x)).tolist() == x.tolist()
+
+
+def test_texts_that_change_between_passes_are_an_error(spark, monkeypatch):
+    """The second pass must see the rows that were counted."""
+    monkeypatch.setattr(jaccard_join, "rereadable", lambda df: True)
+    other = F.udf(lambda: str(uuid.uuid4())).asNondeterministic()
+    moving = docs(spark, [(i, f"a{i} b c d e") for i in range(50)]).withColumn("text", F.concat("text", F.lit(" "), other()))
+    with pytest.raises(Exception, match="other texts than when it was counted"):
+        jaccard_join.ngram_jaccard_join(moving.select("doc_id", "text")).collect()
+
+
 def test_places_and_hashes_come_back():
     rng = np.random.default_rng(3)
     for top in (1, 200, 256, 257, 3000, 60_000, 65_536):
