@@ -6,12 +6,19 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.vectors import EPSILON, clamp_similarity, cosine_distance, normalize, surprisal
 from quillon.session import ship
 from quillon.sources.errors import ConfigurationError
+from quillon.sources.workspace import fs_uri, write_table
+
+#: Vectors that a written row holds, queries of a task, rows of vectors met at once, queries of a product, pairs computed in double at once: they bound memory, never what is compared.
+BLOCK_ROWS, QUERY_ROWS, BLOCKS_AT_ONCE, TILE_ROWS, TAKEN = 1024, 4096, 4, 512, 200_000
 
 
 def upsert(base: DataFrame, new: DataFrame, dimension: int | None = None) -> DataFrame:
@@ -62,19 +69,31 @@ def list_page(base: DataFrame, ns: str, limit: int = 100, cursor=None, where: Co
 
 
 def _blocks(df: DataFrame, key: str, kind: str) -> DataFrame:
-    """(ns, dim, block rows): vectors of one dimension of an Arrow batch as one matrix."""
+    """Written (ns, dim, keys, matrix): up to BLOCK_ROWS vectors of one dimension a row."""
+    single = dict(df.dtypes)["embedding"] == "array<float>"
 
     def run(batches):
         for batch in batches:
-            ns, vectors = np.array(batch.column(0).to_pylist(), object), batch.column(2)
-            sizes = np.array([-1 if v is None else len(v) for v in vectors.to_pylist()])
-            for name in dict.fromkeys(ns.tolist()):
-                for d in np.unique(sizes[(ns == name) & (sizes >= 0)]).tolist():
-                    at = np.flatnonzero((ns == name) & (sizes == d))
-                    m = np.array(vectors.take(pa.array(at)).to_pylist(), np.float64).reshape(len(at), d)
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([d], pa.int32()), pa.array([batch.column(1).take(pa.array(at)).to_pylist()], pa.list_(batch.column(1).type)), pa.array([m.tobytes()])], names=["ns", "dim", "keys", "matrix"])
-
-    return ship_of(df).select("ns", key, F.col("embedding").cast("array<double>")).mapInArrow(run, f"ns string, dim int, keys array<{kind}>, matrix binary")
+            ns, keys, vectors = (batch.column(i) for i in range(3))
+            names = np.array(ns.to_pylist(), object)
+            sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+            rows: list[list] = [[], [], [], []]
+            for name in dict.fromkeys(x for x in names.tolist() if x is not None):
+                for d in np.unique(sizes[(names == name) & (sizes >= 0)]).tolist():
+                    every = np.flatnonzero((names == name) & (sizes == d))
+                    for begin in range(0, len(every), BLOCK_ROWS):
+                        at = pa.array(every[begin : begin + BLOCK_ROWS])
+                        m = vectors.take(at).flatten().to_numpy(zero_copy_only=False)
+                        for store, v in zip(rows, (name, d, keys.take(at).to_pylist(), m.astype(np.float32 if single else np.float64).tobytes())):
+                            store.append(v)
+            kinds = (pa.string(), pa.int32(), pa.list_(batch.column(1).type), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds)], names=["ns", "dim", "keys", "matrix"])
+
+    element = "float" if single else "double"
+    blocks = ship_of(df).select("ns", key, F.col("embedding").cast(f"array<{element}>")).mapInArrow(run, f"ns string, dim int, keys array<{kind}>, matrix binary")
+    out = write_table(blocks, "vectors")
+    out.kind = np.float32 if single else np.float64
+    return out
 
 
 def ship_of(df: DataFrame) -> DataFrame:
@@ -82,46 +101,144 @@ def ship_of(df: DataFrame) -> DataFrame:
     return df
 
 
+def _groups(table: DataFrame) -> list[tuple]:
+    """(file, row group, rows) of a written table."""
+    fs, root = pyarrow.fs.FileSystem.from_uri(fs_uri(table.written_to))
+    files = sorted(x.path for x in fs.get_file_info(pyarrow.fs.FileSelector(root)) if x.path.endswith(".parquet"))
+    return [(f, i, m.row_group(i).num_rows) for f in files for m in [pyarrow.parquet.read_metadata(f, filesystem=fs)] for i in range(m.num_row_groups)]
+
+
+def _askers(table: DataFrame) -> list[tuple]:
+    """Blocks of queries that are asked together, (ns, dim, [(file, row group, row)]): up to QUERY_ROWS queries."""
+    fs, _ = pyarrow.fs.FileSystem.from_uri(fs_uri(table.written_to))
+    out: list[tuple] = []
+    at: dict = {}
+    for f, i, _ in _groups(table):
+        t = pyarrow.parquet.ParquetFile(f, filesystem=fs).read_row_group(i, columns=["ns", "dim", "keys"])
+        for row, (ns, dim, n) in enumerate(zip(t["ns"].to_pylist(), t["dim"].to_pylist(), pc.list_value_length(t["keys"]).to_pylist())):
+            if (ns, dim) not in at or at[ns, dim][1] + n > QUERY_ROWS:
+                out.append((ns, dim, []))
+                at[ns, dim] = [out[-1][2], 0]
+            at[ns, dim][0].append((f, i, row))
+            at[ns, dim][1] += n
+    return out
+
+
+def _parts(table: DataFrame, most: int) -> list[list[tuple]]:
+    """The table's rows in up to `most` parts of one size: [(file, row group, begin, end)]."""
+    groups = _groups(table)
+    rows = sum(g[2] for g in groups)
+    edges = [rows * k // min(most, rows) for k in range(min(most, rows) + 1)] if rows else [0]
+    starts = np.cumsum([0] + [g[2] for g in groups])
+    return [[(f, i, int(max(a, s) - s), int(min(b, s + n) - s)) for (f, i, n), s in zip(groups, starts) if s < b and s + n > a] for a, b in zip(edges, edges[1:])]
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    m = m.astype(np.float64)
+    norm = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.where(norm < EPSILON, 0.0, m / np.where(norm < EPSILON, 1.0, norm))
+
+
+def _true(x: np.ndarray) -> np.ndarray:
+    """np.flatnonzero() of few: eight at a time."""
+    x = x.ravel()
+    even = len(x) // 8 * 8
+    at = (np.flatnonzero(x[:even].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([at[x[at]], even + np.flatnonzero(x[even:])])
+
+
+class _Best:
+    """The best of a block of queries so far: similarity to 10 places, then id. least: what a similarity must reach to change anything."""
+
+    def __init__(self, queries: np.ndarray, limit: int, min_similarity: float | None):
+        self.q, self.limit, self.min = queries, limit, min_similarity
+        self.single = queries.astype(np.float32)
+        #: what single precision may be off by: unit vectors, so at most (dim + 2) roundings of 2 ** -24; twice that
+        self.off = (queries.shape[1] + 8) * 2.0**-23
+        self.row, self.sim, self.id = np.empty(0, np.int64), np.empty(0), None
+        self.full = np.zeros(len(queries), bool)  # has `limit` of them
+        self.least = np.full(len(queries), 0.0 if min_similarity is None else max(0.0, min(1.0, min_similarity)))
+
+    def meet(self, v: np.ndarray, ids: np.ndarray) -> None:
+        """All queries against vectors v, in single precision first; what may count is computed in double."""
+        w, found = v.astype(np.float32), []
+        for begin in range(0, len(self.q), TILE_ROWS):
+            rough = self.single[begin : begin + TILE_ROWS] @ w.T
+            least = self.least[begin : begin + len(rough)] - self.off
+            if len(v) > self.limit and not self.full[begin : begin + len(rough)].all():  # the limit-th best of these comes first
+                kth = np.partition(rough, len(v) - self.limit, axis=1)[:, len(v) - self.limit]
+                least = np.fmax(least, np.where(kth > 2 * self.off, kth - 2 * self.off, -1.0))
+            if self.min is None or self.min <= self.off:
+                least = np.where(least <= self.off, -np.inf, least)  # negative ones count as 0 and tie
+            row, at = np.divmod(_true(rough >= least.astype(np.float32)[:, None]), len(v))
+            found.append((row + begin, at))
+            if sum(len(x) for _, x in found) > TAKEN or begin + TILE_ROWS >= len(self.q):
+                self._take(*map(np.concatenate, zip(*found)), v, ids)
+                found = []
+
+    def _take(self, row: np.ndarray, at: np.ndarray, v: np.ndarray, ids: np.ndarray) -> None:
+        for a in range(0, len(row), TAKEN):
+            r, x = row[a : a + TAKEN], at[a : a + TAKEN]
+            raw = np.clip(np.einsum("ij,ij->i", self.q[r], v[x]), -1, 1)
+            ok = raw == raw if self.min is None else raw >= self.min
+            self._merge(r[ok], np.round(np.clip(raw[ok], 0, 1), 10), ids[x[ok]])
+
+    def _merge(self, row: np.ndarray, sim: np.ndarray, ids: np.ndarray) -> None:
+        if not len(row):
+            return
+        mine = np.zeros(len(self.q), bool)
+        mine[row] = True
+        old = mine[self.row]
+        r, s = np.concatenate([self.row[old], row]), np.concatenate([self.sim[old], sim])
+        i = ids if self.id is None or not len(self.id) else np.concatenate([self.id[old], ids])
+        order = np.lexsort((i, -s, r))
+        r, s, i = r[order], s[order], i[order]
+        first = np.searchsorted(r, r)
+        keep = np.arange(len(r)) - first < self.limit
+        last = np.arange(len(r)) - first == self.limit - 1
+        self.least[r[last]], self.full[r[last]] = np.maximum(self.least[r[last]], s[last]), True
+        self.id = i[keep] if self.id is None or not len(self.id) else np.concatenate([self.id[~old], i[keep]])
+        self.row, self.sim = np.concatenate([self.row[~old], r[keep]]), np.concatenate([self.sim[~old], s[keep]])
+
+
 def nearest_neighbors(vectors: DataFrame, queries: DataFrame, limit: int = 20, min_similarity: float | None = None, where: Column | None = None, include_vectors: bool = False) -> DataFrame:
     """vectors(ns, id, embedding, ...) and queries(query_id, ns, embedding) to (query_id, id, similarity, rank[, embedding]).
 
     Exact. The filter comes before any arithmetic; min_similarity holds for the raw cosine, ranks for the clamped one to
-    10 places, then id. Vectors of another length than the query's are passed over. Matrices of vectors stay where their
-    part of the join is; matrices of queries go to all parts, each of which keeps `limit` rows a query.
+    10 places, then id. Vectors of another length than the query's are passed over. Both sides are written as matrices;
+    a task reads thousands of queries and, a few MB at a time, all vectors, or where queries are few a part of them, and
+    gives `limit` rows a query. Every pair is computed in single precision; only those that may be among the best, by
+    what single precision may be off by, are computed again and ranked in double.
     """
+    spark = vectors.sparkSession
     v = vectors if where is None else vectors.where(where)
     kind_v, kind_q = dict(v.dtypes)["id"], dict(queries.dtypes)["query_id"]
-    parts = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = _blocks(v, "id", kind_v).withColumn("part", F.pmod(F.xxhash64("matrix"), F.lit(parts)))
-    right = _blocks(queries, "query_id", kind_q).select(F.col("ns"), "dim", F.col("keys").alias("query_keys"), F.col("matrix").alias("query_matrix"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
-    joined = left.join(right, ["ns", "dim", "part"]).select("dim", "keys", "matrix", "query_keys", "query_matrix")
+    left, right = _blocks(v, "id", kind_v), _blocks(queries, "query_id", kind_q)
+    asked, tasks = _askers(right), max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = _parts(left, -(-tasks // max(1, len(asked))))
+    uri, in_v, in_q = fs_uri(left.written_to), left.kind, right.kind
 
     def run(batches):
-        def unit(m):
-            norm = np.sqrt((m * m).sum(1, keepdims=True))
-            return np.where(norm < EPSILON, 0.0, m / np.where(norm < EPSILON, 1.0, norm))
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                d, keys, m, qkeys, qm = (c[i] for c in batch.columns)
-                d = d.as_py()
-                a = unit(np.frombuffer(m.as_py(), np.float64).reshape(-1, d))
-                b = unit(np.frombuffer(qm.as_py(), np.float64).reshape(-1, d))
-                ids = np.array(keys.as_py(), object)
-                order = np.argsort(np.array(ids.tolist()), kind="stable")
-                a, ids = a[order], ids[order]
-                for start in range(0, len(b), 256):
-                    raw = np.clip(b[start : start + 256] @ a.T, -1, 1)
-                    sim = np.round(np.clip(raw, 0, 1), 10)
-                    sim_ = np.where(raw >= min_similarity, sim, -1.0) if min_similarity is not None else sim
-                    best = np.argsort(-sim_, axis=1, kind="stable")[:, :limit]
-                    q = np.repeat(np.arange(len(raw)), best.shape[1])
-                    s, at = np.take_along_axis(sim_, best, 1).ravel(), best.ravel()
-                    ok = s >= 0
-                    qk = qkeys.values.take(pa.array(start + q[ok]))
-                    yield pa.RecordBatch.from_arrays([qk, pa.array(ids[at[ok]].tolist(), keys.values.type), pa.array(s[ok])], names=["query_id", "id", "similarity"])
-
-    hits = joined.mapInArrow(run, f"query_id {kind_q}, id {kind_v}, similarity double")
+        fs, _ = pyarrow.fs.FileSystem.from_uri(uri)
+        row_group = lambda f, i: pyarrow.parquet.ParquetFile(f, filesystem=fs).read_row_group(i)
+        for task in (x for batch in batches for x in batch.column(0).to_pylist()):
+            ns, dim, own = asked[task // len(parts)]
+            taken = pa.concat_tables([row_group(f, i).slice(row, 1) for f, i, row in own])
+            best = _Best(_unit(np.concatenate([np.frombuffer(m, in_q).reshape(-1, dim) for m in taken["matrix"].to_pylist()])), limit, min_similarity)
+            qkeys = pa.concat_arrays([c.flatten() for c in taken["keys"].chunks])
+            for f, i, begin, end in parts[task % len(parts)]:
+                t = row_group(f, i).slice(begin, end - begin)
+                t = t.filter(pc.and_(pc.equal(t["ns"], ns), pc.equal(t["dim"], dim)))
+                for k in range(0, t.num_rows, BLOCKS_AT_ONCE):
+                    some = t.slice(k, BLOCKS_AT_ONCE)
+                    m = np.concatenate([np.frombuffer(x, in_v).reshape(-1, dim) for x in some["matrix"].to_pylist()])
+                    best.meet(_unit(m), np.array([x for keys in some["keys"].to_pylist() for x in keys]))
+            if len(best.row):
+                key = qkeys.take(pa.array(best.row))
+                yield pa.RecordBatch.from_arrays([key, pa.array(best.id.tolist(), t["keys"].type.value_type), pa.array(best.sim)], names=["query_id", "id", "similarity"])
+
+    units = len(asked) * len(parts)
+    hits = spark.range(0, units, 1, max(1, units)).mapInArrow(run, f"query_id {kind_q}, id {kind_v}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     hits = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     return hits.join(v.select("id", "embedding"), "id") if include_vectors else hits

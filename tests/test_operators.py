@@ -3,6 +3,7 @@
 import math
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,48 @@ def seeds(spark, *ids):
     return spark.createDataFrame([(i, i) for i in ids], "query_id long, id long")
 
 
+@pytest.mark.parametrize("limit, least", [(3, None), (7, 0.1), (40, -0.2), (1, 0.9)])
+def test_nearest_are_those_of_brute_force(spark, monkeypatch, limit, least):
+    """Ties, copies, zero and odd vectors, several dimensions and namespaces, in blocks of any size."""
+    for name, n in (("BLOCK_ROWS", 40), ("QUERY_ROWS", 90), ("BLOCKS_AT_ONCE", 2), ("TILE_ROWS", 30), ("TAKEN", 500)):
+        monkeypatch.setattr(vectors, name, n)
+    rng = np.random.default_rng(limit)
+    rows = []
+    for i in range(400):
+        dim = 8 if i % 10 else 5
+        x = np.zeros(dim) if i % 50 == 3 else rng.normal(size=dim) * (1 if i % 7 else 1e6)
+        rows.append(("a" if i % 3 else "b", i, [float(y) for y in (rows[-10][2] if i % 20 == 11 and len(rows[-10][2]) == dim else x)]))
+    rows += [("a", 400, None), ("a", 401, [float("nan")] * 8)]
+    v = spark.createDataFrame(rows, "ns string, id long, embedding array<double>")
+    q = v.where("id % 4 = 0").select(F.col("id").alias("query_id"), "ns", "embedding")
+    got = sorted((r["query_id"], r["rank"], r["id"], r["similarity"]) for r in vectors.nearest_neighbors(v, q, limit, least).collect())
+    want = []
+    for ns, k, x in rows:
+        if k % 4 == 0 and x is not None:
+            hits = []
+            for other, i, y in rows:
+                if other == ns and y is not None and len(x) == len(y) and not np.isnan(y[0]):
+                    a, b = np.linalg.norm(x), np.linalg.norm(y)
+                    raw = float(np.clip(np.dot(x, y) / (a * b), -1, 1)) if min(a, b) > 1e-9 else 0.0
+                    if least is None or raw >= least:
+                        hits.append((-round(max(raw, 0.0), 10), i))
+            want += [(k, r + 1, i, -s) for r, (s, i) in enumerate(sorted(hits)[:limit])]
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)] and len(got) > 50
+    assert max(abs(x[3] - y[3]) for x, y in zip(got, sorted(want))) < 1e-9
+    assert sum(x[2] != y[2] for x, y in zip(got, sorted(want))) <= len(got) // 50  # ties that the last bit decides
+
+
+def test_few_pairs_are_computed_and_kept(monkeypatch):
+    """Each block of vectors gave `limit` rows a query, all of which were sorted in double and shuffled."""
+    rng = np.random.default_rng(2)
+    best, taken = vectors._Best(vectors._unit(rng.normal(size=(50, 16))), 5, None), []
+    take = best._take
+    monkeypatch.setattr(best, "_take", lambda row, *rest: (taken.append(len(row)), take(row, *rest)))
+    for k in range(20):
+        best.meet(vectors._unit(rng.normal(size=(500, 16))), np.arange(500) + 500 * k)
+    assert len(best.row) == 50 * 5 and sum(taken) < 50 * 10_000 / 100
+
+
 def test_traversal(spark):
     e, r = graph(spark, [(1, 2), (1, 3), (3, 4)])
     assert sorted(x.id for x in traverse.neighbors(e, r, seeds(spark, 1), 1).collect()) == [2, 3]
