@@ -31,7 +31,7 @@ class HybridConfig:
 
 def hybrid_search(index: bm25.Bm25Index, vector_table: DataFrame, queries: DataFrame, query_vectors: DataFrame, config: HybridConfig = HybridConfig(), limit: int = 20, with_confidence: bool = True) -> DataFrame:
     """queries(query_id, ns, query) and query_vectors(query_id, ns, embedding) to ranked (query_id, id, bm25, vector, hybrid, ...)."""
-    lexical = bm25.search(index, queries, config.bm25_candidates).select("query_id", "id", "score", "rank")
+    lexical = bm25.search(index, queries, config.bm25_candidates, details=False).select("query_id", "id", "score", "rank")
     semantic = vectors.nearest_neighbors(vector_table, query_vectors, config.vector_candidates, config.min_similarity).select("query_id", "id", F.col("similarity").alias("score"), "rank")
     if config.method == "rrf":
         fused = fusion.rrf(lexical, semantic, config.rrf_k, config.bm25_weight, config.vector_weight)

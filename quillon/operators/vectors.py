@@ -12,6 +12,7 @@ import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.best import Best, true
 from quillon.functions.vectors import EPSILON, clamp_similarity, cosine_distance, normalize, surprisal
 from quillon.session import ship
 from quillon.sources.errors import ConfigurationError
@@ -139,25 +140,15 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.where(norm < EPSILON, 0.0, m / np.where(norm < EPSILON, 1.0, norm))
 
 
-def _true(x: np.ndarray) -> np.ndarray:
-    """np.flatnonzero() of few: eight at a time."""
-    x = x.ravel()
-    even = len(x) // 8 * 8
-    at = (np.flatnonzero(x[:even].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
-    return np.concatenate([at[x[at]], even + np.flatnonzero(x[even:])])
-
-
-class _Best:
-    """The best of a block of queries so far: similarity to 10 places, then id. least: what a similarity must reach to change anything."""
+class _Best(Best):
+    """The best of a block of queries so far: similarity to 10 places, then id."""
 
     def __init__(self, queries: np.ndarray, limit: int, min_similarity: float | None):
-        self.q, self.limit, self.min = queries, limit, min_similarity
+        super().__init__(len(queries), limit, 0.0 if min_similarity is None else max(0.0, min(1.0, min_similarity)) - 1e-10)
+        self.q, self.min = queries, min_similarity
         self.single = queries.astype(np.float32)
         #: what single precision may be off by: unit vectors, so at most (dim + 2) roundings of 2 ** -24; twice that
         self.off = (queries.shape[1] + 8) * 2.0**-23
-        self.row, self.sim, self.id = np.empty(0, np.int64), np.empty(0), None
-        self.full = np.zeros(len(queries), bool)  # has `limit` of them
-        self.least = np.full(len(queries), 0.0 if min_similarity is None else max(0.0, min(1.0, min_similarity)))
 
     def meet(self, v: np.ndarray, ids: np.ndarray) -> None:
         """All queries against vectors v, in single precision first; what may count is computed in double."""
@@ -170,7 +161,7 @@ class _Best:
                 least = np.fmax(least, np.where(kth > 2 * self.off, kth - 2 * self.off, -1.0))
             if self.min is None or self.min <= self.off:
                 least = np.where(least <= self.off, -np.inf, least)  # negative ones count as 0 and tie
-            row, at = np.divmod(_true(rough >= least.astype(np.float32)[:, None]), len(v))
+            row, at = np.divmod(true(rough >= least.astype(np.float32)[:, None]), len(v))
             found.append((row + begin, at))
             if sum(len(x) for _, x in found) > TAKEN or begin + TILE_ROWS >= len(self.q):
                 self._take(*map(np.concatenate, zip(*found)), v, ids)
@@ -181,24 +172,7 @@ class _Best:
             r, x = row[a : a + TAKEN], at[a : a + TAKEN]
             raw = np.clip(np.einsum("ij,ij->i", self.q[r], v[x]), -1, 1)
             ok = raw == raw if self.min is None else raw >= self.min
-            self._merge(r[ok], np.round(np.clip(raw[ok], 0, 1), 10), ids[x[ok]])
-
-    def _merge(self, row: np.ndarray, sim: np.ndarray, ids: np.ndarray) -> None:
-        if not len(row):
-            return
-        mine = np.zeros(len(self.q), bool)
-        mine[row] = True
-        old = mine[self.row]
-        r, s = np.concatenate([self.row[old], row]), np.concatenate([self.sim[old], sim])
-        i = ids if self.id is None or not len(self.id) else np.concatenate([self.id[old], ids])
-        order = np.lexsort((i, -s, r))
-        r, s, i = r[order], s[order], i[order]
-        first = np.searchsorted(r, r)
-        keep = np.arange(len(r)) - first < self.limit
-        last = np.arange(len(r)) - first == self.limit - 1
-        self.least[r[last]], self.full[r[last]] = np.maximum(self.least[r[last]], s[last]), True
-        self.id = i[keep] if self.id is None or not len(self.id) else np.concatenate([self.id[~old], i[keep]])
-        self.row, self.sim = np.concatenate([self.row[~old], r[keep]]), np.concatenate([self.sim[~old], s[keep]])
+            self.merge(r[ok], np.round(np.clip(raw[ok], 0, 1), 10), ids[x[ok]])
 
 
 def nearest_neighbors(vectors: DataFrame, queries: DataFrame, limit: int = 20, min_similarity: float | None = None, where: Column | None = None, include_vectors: bool = False) -> DataFrame:
@@ -235,7 +209,7 @@ def nearest_neighbors(vectors: DataFrame, queries: DataFrame, limit: int = 20, m
                     best.meet(_unit(m), np.array([x for keys in some["keys"].to_pylist() for x in keys]))
             if len(best.row):
                 key = qkeys.take(pa.array(best.row))
-                yield pa.RecordBatch.from_arrays([key, pa.array(best.id.tolist(), t["keys"].type.value_type), pa.array(best.sim)], names=["query_id", "id", "similarity"])
+                yield pa.RecordBatch.from_arrays([key, pa.array(best.id.tolist(), t["keys"].type.value_type), pa.array(best.score)], names=["query_id", "id", "similarity"])
 
     units = len(asked) * len(parts)
     hits = spark.range(0, units, 1, max(1, units)).mapInArrow(run, f"query_id {kind_q}, id {kind_v}, similarity double")

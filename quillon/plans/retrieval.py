@@ -86,7 +86,7 @@ def bm25_search(spark, sf_dir):
 
 @query(f"WITH {BM25_CTE} SELECT query_id, id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 20 AND score >= 20")
 def bm25_min_score(spark, sf_dir):
-    r = bm25.search(_index(spark, sf_dir), tables.benchmark_queries(spark, sf_dir), min_score=20.0)
+    r = bm25.search(_index(spark, sf_dir), tables.benchmark_queries(spark, sf_dir), min_score=20.0, details=False)
     return r.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -234,7 +234,7 @@ _RRF = f"{_LISTS}, f AS (SELECT query_id, id, b.score AS bm25, v.similarity AS v
 
 
 def _lists(spark, sf_dir):
-    b = bm25.search(_index(spark, sf_dir), tables.benchmark_queries(spark, sf_dir), limit=200).select("query_id", "id", "score", "rank")
+    b = bm25.search(_index(spark, sf_dir), tables.benchmark_queries(spark, sf_dir), limit=200, details=False).select("query_id", "id", "score", "rank")
     v = vectors.nearest_neighbors(tables.vectors(spark, sf_dir), _vector_queries(spark, sf_dir), limit=200).select("query_id", "id", F.col("similarity").alias("score"), "rank")
     return b, v
 

@@ -47,6 +47,43 @@ def test_rare_terms_weigh_more(spark):
     assert score("rust") == pytest.approx(0.0757437, abs=1e-6)
 
 
+@pytest.mark.parametrize("limit, least, fields", [(3, None, None), (40, 0.5, None), (5, None, ["a"])])
+def test_searches_are_joins_of_postings(spark, limit, least, fields):
+    """Against field_scores(): several namespaces and fields, an id's rows apart and repeated, null ids and texts, few documents met by many queries."""
+    rng = np.random.default_rng(limit)
+    text = lambda n: " ".join(f"w{int(x)}" for x in rng.zipf(1.5, n) if x < 300)
+    rows = [(("x", "y")[i % 2], i // 3, ("a", "b", "a")[i % 3] if i % 5 else "b", text(25) if i % 11 else None) for i in range(600)]
+    rows += [("x", None, "a", "w1 w2"), ("x", None, "a", "w1 w3"), ("x", 900, "a", ""), ("z", 901, "a", "w1")]
+    i = bm25.build_index(spark.createDataFrame(rows, "ns string, id long, field string, text string").repartition(3))
+    q = spark.createDataFrame([(k, ("x", "y", "u")[k % 3], text(4 + k)) for k in range(12)] + [(20, "x", "the")], "query_id int, ns string, query string")
+    parts: dict = {}
+    for r in bm25.field_scores(i, q, fields).collect():
+        parts.setdefault((r.query_id, r.id), []).append(r)
+    want: dict = {}
+    for (k, d), p in parts.items():
+        score = round(sum(r.part for r in p), 10)
+        if score > 0 and score >= (least or 0):
+            want.setdefault(k, []).append((-score, d, tuple(sorted({r.term for r in p})), {f: sum(r.part for r in p if r.field == f) for f in {r.field for r in p}}))
+    got: dict = {}
+    for r in bm25.search(i, q, limit, least, fields).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.id, tuple(r.matched_terms), r.field_scores))
+    assert set(got) == set(want) and len(got) == 8
+    for k, x in want.items():
+        x = sorted(x, key=lambda y: y[:2])[:limit]
+        assert [y[1:3] for y in got[k]] == [y[1:3] for y in x]
+        for y, z in zip(got[k], x):
+            assert abs(y[0] - z[0]) < 1e-9 and y[3] == pytest.approx(z[3])
+    bare = bm25.search(i, q, limit, least, fields, details=False)
+    assert bare.columns == ["query_id", "id", "score", "rank"] and sorted((r.query_id, r.id) for r in bare.collect()) == sorted((k, y[1]) for k in got for y in got[k])
+
+
+def test_searches_shuffle_neither_postings_nor_scores(spark):
+    """Postings of all texts were counted by shuffles, twice, and joined with queries, lengths and frequencies."""
+    i = index(spark, [(str(k), "text", "rust and python") for k in range(9)])
+    plan = bm25.search(i, ask(spark, "rust"), details=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate explode" not in plan
+
+
 def test_fields_and_stop_words(spark):
     i = index(spark, [("a", "title", "rust programming"), ("a", "body", "python scripting")])
     assert bm25.search(i, ask(spark, "python"), fields=["title"]).count() == 0
