@@ -200,6 +200,34 @@ def test_shortest_paths_have_no_bound(spark):
     assert traverse.shortest_paths(e, r, pairs, 2).collect() == []
 
 
+def test_shortest_paths_search_only_what_leads_to_an_end(spark, monkeypatch):
+    """Every search followed all that it met: here 2,000 nodes that no end is reached from."""
+    e = spark.createDataFrame([(i, "active", None, None) for i in range(2100)], "id long, assertion_state string, valid_from timestamp, valid_to timestamp")
+    ends = [(1, 2), (0, 1), (0, 3), (3, 2), (1, 4), *((1, i) for i in range(100, 2100))]
+    r = spark.createDataFrame([(i, a, b, "active", None, None) for i, (a, b) in enumerate(ends)], "id long, from_id long, to_id long, assertion_state string, valid_from timestamp, valid_to timestamp")
+    met, write = [], traverse.write_table
+
+    def counted(df, name):
+        out = write(df, name)
+        met.append(out.count() if name == "frontier" else 0)
+        return out
+
+    monkeypatch.setattr(traverse, "write_table", counted)
+    pairs = spark.createDataFrame([(0, 2), (1, 2), (4, 2), (2, 2), (0, 5000)], "from_id long, to_id long")
+    assert sorted(tuple(x) for x in traverse.shortest_paths(e, r, pairs).collect()) == [(0, 2, [0, 1, 2]), (1, 2, [1, 2]), (2, 2, [2])]
+    assert max(met) < 10
+
+
+def test_walks_send_no_table_through_the_driver(spark):
+    """Files under 10 MB were broadcast, however many rows they held."""
+    e = spark.createDataFrame([(i, 1.0) for i in range(9)], "id long, conf_overall double")
+    r = spark.createDataFrame([(i, i, i + 1, "CAUSES", 0.5, 0.5) for i in range(8)], "id long, from_id long, to_id long, relation_type string, causal_strength double, conf_overall double")
+    pairs = spark.createDataFrame([(1, 0, 3)], "query_id long, from_id long, to_id long")
+    out = traverse.causal_paths(e, r, pairs)
+    assert [x.nodes for x in out.collect()] == [[0, 1, 2, 3]]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_causal_chains(spark):
     e, r = graph(spark, [(1, 2), (2, 3), (1, 4)], kinds=["CAUSES", "TRIGGERS", "LIKES"])
     down = traverse.causal_descendants(e, r, seeds(spark, 1)).collect()
